@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import decontamination, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op4_packing": packing.op4_packing,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op8_sharding": sharding.op8_sharding,
     }
 
 
 def oracles() -> dict:
-    return {}
+    return {"op9_decontamination": decontamination.OP9_SQL}

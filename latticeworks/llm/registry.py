@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding
+from . import decontamination, neardup, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op4_packing": packing.op4_packing,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op6_minhash": neardup.op6_minhash,
         "op8_sharding": sharding.op8_sharding,
     }
 
 
 def oracles() -> dict:
-    return {"op9_decontamination": decontamination.OP9_SQL}
+    return {
+        "op6_minhash": neardup.OP6_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
+    }

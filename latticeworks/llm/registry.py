@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, neardup, packing, sharding
+from . import decontamination, neardup, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op9_decontamination": decontamination.op9_decontamination,
         "op6_minhash": neardup.op6_minhash,
+        "op10_toxicity": toxicity.op10_toxicity,
         "op8_sharding": sharding.op8_sharding,
     }
 

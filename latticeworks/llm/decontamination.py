@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,9 +182,9 @@ def match_blocks(index: DataFrame, table: dict, slop: int = 0) -> DataFrame:
 
     def run(_, group):
         group = group.combine_chunks()
-        real = group.filter(pa.compute.not_equal(group.column("term"), _DOCS)).combine_chunks()
+        real = group.filter(pc.not_equal(group.column("term"), _DOCS)).combine_chunks()
         docs, positions = real.column("docs").combine_chunks(), real.column("positions").combine_chunks()
-        sizes = pa.compute.list_value_length(docs).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(docs).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = _Lists(real.column("term").to_numpy(), sizes, docs.flatten().to_numpy(), positions.flatten().to_numpy())
         found: dict[tuple[int, str], list[tuple[int, int]]] = {}
         for size, (phrases, order, items, _) in shared.value.items():

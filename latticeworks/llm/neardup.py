@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _block_links(members: DataFrame, shingles: DataFrame, percent: int) -> DataF
         group = group.combine_chunks()
         label, own, rep = (group.column(c).to_numpy() for c in ("label", "own", "rep"))
         lists = group.column("shingles").combine_chunks()
-        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         _, term = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         often = np.bincount(term)[term] > 1  # others are in no intersection
         row, (kept, term) = np.repeat(np.arange(len(sizes)), sizes)[often], np.unique(term[often], return_inverse=True)

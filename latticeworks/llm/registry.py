@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, neardup, packing, sharding, toxicity
+from . import ann, decontamination, neardup, packing, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op9_decontamination": decontamination.op9_decontamination,
         "op6_minhash": neardup.op6_minhash,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op2_nearest": ann.op2_nearest,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op8_sharding": sharding.op8_sharding,
     }
 

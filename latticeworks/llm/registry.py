@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, neardup, packing, sharding, token_counts, toxicity
+from . import ann, decontamination, licenses, neardup, packing, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op2_nearest": ann.op2_nearest,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op5_licenses": licenses.op5_licenses,
         "op8_sharding": sharding.op8_sharding,
     }
 

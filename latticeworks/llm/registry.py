@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, licenses, neardup, packing, sharding, token_counts, toxicity
+from . import ann, decontamination, licenses, neardup, packing, pii, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op2_nearest": ann.op2_nearest,
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_licenses": licenses.op5_licenses,
+        "op7_pii": pii.op7_pii,
         "op8_sharding": sharding.op8_sharding,
     }
 

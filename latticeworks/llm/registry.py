@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, licenses, neardup, packing, pii, sharding, token_counts, toxicity
+from . import ann, decontamination, licenses, neardup, packing, pii, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_licenses": licenses.op5_licenses,
         "op7_pii": pii.op7_pii,
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op8_sharding": sharding.op8_sharding,
     }
 

@@ -207,15 +207,25 @@ def _features(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(run, f"{schema}, f array<double>")
 
 
+def _score(lexicon: Lexicon):
+    b = lexicon.model
+    z = sum((F.lit(float(w)) * F.col("f")[k] for k, w in enumerate(b[1:])), F.lit(float(b[0])))
+    return 1 / (1 + F.exp(-z))
+
+
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score (0 to 1) of every row of ``docs``; null and empty texts get the score of no words at all.
 
     Only the text counts. Repeated documents each get their row; other columns are ignored.
     """
-    scored = _features(docs, lexicon, ["doc_id"])
-    b = lexicon.model
-    z = sum((F.lit(float(w)) * F.col("f")[k] for k, w in enumerate(b[1:])), F.lit(float(b[0])))
-    return scored.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return _features(docs, lexicon, ["doc_id"]).select("doc_id", _score(lexicon).alias("score"))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, columns as they are; repeated rows and null texts stay."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    scored = _features(rows, lexicon, ["row"])
+    return scored.where(_score(lexicon) < threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Registry of the library's own queries (the reference's operators)."""
+"""The library's own queries (the reference's operators) and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from .jobs import grid_jobs, spatial_jobs  # noqa: F401
+from .jobs.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ def decode_pairs(scored: DataFrame, keys: list[str], threshold: float = 0.5) ->
         return F.when(free, F.struct(F.concat(s["used"], F.array(p["i"].cast("int"), p["j"].cast("int"))).alias("used"), F.array_append(s["kept"], new).alias("kept"))).otherwise(s)
 
     folded = scored.where(F.col("prob") > threshold).groupBy(*keys).agg(order.alias("o")).select(*keys, F.aggregate("o", state, take)["kept"].alias("kept"))
-    return folded.select(*keys, F.explode("kept").alias("p")).select(*keys, "p.i", "p.j", "p.prob")
+    return folded.select(*keys, F.explode("kept").alias("_pair")).select(*keys, "_pair.i", "_pair.j", "_pair.prob")
 
 
 def normalize_pairs(pairs: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -116,8 +116,8 @@ def take_unused(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         new = F.struct(r["site"].cast("long").alias("site"), r["residue_num"].cast("long").alias("residue_num"))
         return F.when(seen, s).otherwise(F.struct(F.array_append(s["kept"], new).alias("kept")))
 
-    folded = rows.groupBy(*keys).agg(seq.alias("o")).select(*keys, F.explode(F.aggregate("o", state, take)["kept"]).alias("k"))
-    return folded.select(*keys, "k.site", "k.residue_num")
+    folded = rows.groupBy(*keys).agg(seq.alias("o")).select(*keys, F.explode(F.aggregate("o", state, take)["kept"]).alias("_pick"))
+    return folded.select(*keys, "_pick.site", "_pick.residue_num")
 
 
 def hydrogen_bonds(spark) -> DataFrame:

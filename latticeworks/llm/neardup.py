@@ -18,8 +18,8 @@ from .scratch import drop, materialize
 from .textbytes import SPACE, U64, combine, flat, mix, slices, words
 
 SIGNATURE, BANDS, ROWS = 128, 32, 4
-#: Classes of a bucket that one task compares with as many others.
-BLOCK = 128
+#: Classes of a bucket that one task compares with about as many others.
+BLOCK = 1024
 _UNIT = 25  # bits of a rank's fraction; the integer part is the step at which it was drawn
 
 
@@ -169,36 +169,45 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
 
 
 def _block_links(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels in the same bucket: members (bucket, rep, label, n), in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("rep", "label", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = spread.join(shingles, "rep")
+    """Links between different labels in the same bucket: members (bucket, rep, label, n).
+
+    Within a bucket the classes outside its most frequent label (the few) meet all of its classes, in pairs of blocks
+    of at most about BLOCK: a bucket that is one component but for some costs little more than its own rows.
+    """
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.first("n").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), (F.first("n") - F.max("size")).alias("few"), F.first("n").alias("n"))
+    n_blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    placed = members.drop("n").join(main.where("few > 0"), "bucket").withColumn("draw", F.xxhash64("rep"))
+    block = lambda c: F.pmod("draw", n_blocks(c).cast("long")).cast("int")
+    others = lambda c: F.explode(F.sequence(F.lit(0), n_blocks(c) - 1))
+    few = placed.where("label != main").select("bucket", "rep", "label", block("few").alias("i"), others("n").alias("j"), F.lit(True).alias("probe"))
+    every = placed.select("bucket", "rep", "label", others("few").alias("i"), block("n").alias("j"), F.lit(False).alias("probe"))
+    rows = few.union(every).join(shingles, "rep")
 
     def run(_, group):
         group = group.combine_chunks()
-        label, own, rep = (group.column(c).to_numpy() for c in ("label", "own", "rep"))
+        label, probe, rep = (group.column(c).to_numpy() for c in ("label", "probe", "rep"))
         lists = group.column("shingles").combine_chunks()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         _, term = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         often = np.bincount(term)[term] > 1  # others are in no intersection
         row, (kept, term) = np.repeat(np.arange(len(sizes)), sizes)[often], np.unique(term[often], return_inverse=True)
-        common = np.zeros((len(sizes), len(sizes)), np.float32)
         order = np.argsort(term, kind="stable")
         row, term = row[order], term[order]
-        for c in range(0, len(kept), 8192):
-            b, e = np.searchsorted(term, [c, c + 8192])
-            x = np.zeros((len(sizes), 8192), np.float32)
+        first, second = np.flatnonzero(probe), np.flatnonzero(~probe)
+        common = np.zeros((len(first), len(second)), np.float32)
+        for c in range(0, len(kept), 2048):
+            b, e = np.searchsorted(term, [c, c + 2048])
+            x = np.zeros((len(sizes), 2048), np.float32)
             x[row[b:e], term[b:e] - c] = 1
-            common += x @ x.T
-        union = sizes[:, None] + sizes[None, :] - common
-        first = (own == group.column("lo")[0].as_py())[:, None]
-        second = (own == group.column("hi")[0].as_py())[None, :]
-        i, j = np.nonzero((100 * common >= percent * union) & (label[:, None] != label[None, :]) & first & second)
-        return pa.table([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
-
-    return rows.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
+            common += x[first] @ x[second].T
+        union = sizes[first][:, None] + sizes[second][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (label[first][:, None] != label[second][None, :]))
+        one, other = rep[first[i]], rep[second[j]]
+        _, once = np.unique(np.stack([one, label[second[j]]]), axis=1, return_index=True)  # one link into each label is enough
+        return pa.table([pa.array(one[once]), pa.array(other[once])], ["a", "b"])
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

@@ -1,0 +1,54 @@
+import re
+
+from latticeworks.llm import pii
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+HARD = [
+    "a@b.c_d@e.f x.y@z..q@r.st", "1.2.3.4.5.6.7.8 999.1.1.1 0001.002.3.4", "4111 1111 1111 1111 4111-1111-1111-1112 4 1", "+1 (017) 555-7713) +49-30-123456789. +1 2 +123456789012345678 +(12",
+    "é@x.yz ü a+b%c@d-e.f-g", "@.@ ++1 2 3 4 5 6 7 8 9", "1" * 5000 + " " + "a" * 5000 + "@", "5500 0000 0000 0004+1 234 567 8901", "+1.2.3.4.5.6.7.8.9 10.0.0.1:80", None, "",
+]
+
+
+def luhn(digits):
+    total = sum(d * (1 + k % 2) - 9 * (d * (1 + k % 2) > 9) for k, d in enumerate(int(c) for c in reversed(digits)))
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_finds_are_exact(spark):
+    df = spark.createDataFrame([(i, t, i, "r") for i, t in enumerate(HARD)], "doc_id long, text string, rid long, row string")
+    rows, found = pii.find(df)
+    got = {r["doc_id"]: [(s["kind"], s["begin"], s["end"]) for s in r["spans"] or [] if s["base"]] for r in rows.select("rid", "row.doc_id").join(found, "rid", "left").collect()}
+    assert got == {i: base(t) for i, t in enumerate(HARD)}
+
+
+def test_redaction_keeps_everything_else(spark):
+    rows = [(i, f"n{i} call +1 (201) 555-{1000 + i} or a{i}@mail.example.com, 10.0.0.{i}", "x") for i in range(50)] + [(60, None, "y"), (61, "nothing here", "z"), (61, "nothing here", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(pii.redact(df).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    assert len(got) == len(rows) and got[7]["text"] == "n7 call [PHONE] or [EMAIL], [IP]" and got[50]["text"] is None and got[51]["text"] == got[52]["text"] == "nothing here"
+
+
+def test_trees_learn_counts():
+    import numpy as np
+
+    x = np.array([[0, 0], [0, 1], [1, 0], [1, 1]])
+    start, trees = pii.fit_trees(x, np.array([0.0, 9.0, 1.0, 0.0]), np.full(4, 10.0))
+    p = pii._probabilities(start, trees, x)
+    assert p[1] > 0.8 and max(p[0], p[2], p[3]) < 0.2
+    assert pii.fit_trees(np.zeros((0, 2), int), np.zeros(0), np.zeros(0))[1] == []
+
+
+def test_empty(empty):
+    rows, found = pii.find(empty)
+    assert rows.count() == 0 and found.count() == 0

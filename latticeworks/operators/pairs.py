@@ -42,7 +42,7 @@ def normalize_pairs(pairs: DataFrame, keys: list[str], length: int) -> DataFrame
 
 
 def stacks(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b) with (c, d) = (a + 1, b - 1), both pairs of the key."""
+    """(a, b) with (c, d) = (a + 1, b - 1), both pairs of the key; keys are called none of a, b, c, d."""
     outer = pairs.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), (F.col("i") + 1).alias("c"), (F.col("j") - 1).alias("d"))
     inner = pairs.select(*keys, F.col("i").alias("c"), F.col("j").alias("d"))
     return outer.join(inner, [*keys, "c", "d"]).select(*keys, "a", "b", "c", "d")

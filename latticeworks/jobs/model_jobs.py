@@ -145,34 +145,37 @@ def adaptive_trigger(spark, sf_dir):
     return c.select("k", selection.try_candidate(F.col("k") % 40, (F.col("k") % 13) / 13.0, ratio).alias("trigger"))
 
 
-_PATH = "path AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS path_pos, CASE WHEN vec_id % 7 = 0 THEN 0 WHEN label < 5 THEN 1 ELSE -1 END AS grp, 1.0 - (vec_id % 4) * 0.25 AS conf FROM embeddings WHERE label IN (0, 3, 6)), res AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) AS INT) AS residue_num, CASE WHEN label < 5 THEN 1 ELSE -1 END AS grp FROM embeddings WHERE label IN (0, 3, 6, 9))"
+_PATH = (
+    "ranked AS (SELECT label AS chain, vec_id AS id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rn, CASE WHEN (vec_id * 13) % 11 < 5 THEN 1 ELSE -1 END AS g FROM embeddings), "
+    "path AS (SELECT chain, rn - 1 AS path_pos, CASE WHEN id % 7 = 0 THEN 0 ELSE g END AS grp, 1.0 - (id % 4) * 0.25 AS conf FROM ranked), res AS (SELECT chain, rn - 3 AS residue_num, g AS grp FROM ranked WHERE rn > 3)"
+)
 _CONSENSUS = (
-    f"{_PATH}, z AS (SELECT (SELECT count(*) FROM path) AS np, (SELECT count(*) FROM res) AS ns), w AS (SELECT np, ns, least(24, np, ns) AS win FROM z), "
-    "st AS (SELECT DISTINCT ns, win, np, unnest(list_append(range(0, greatest(1, np - win + 1), 2), greatest(0, np - win))) AS start FROM w), f AS (SELECT ns, start, least(win, np - start) AS len FROM st WHERE least(win, np - start) >= greatest(4, win // 2)), "
-    "pl AS (SELECT start, len, 1 AS dir, unnest(range(1, ns - len + 2)) AS s0 FROM f UNION ALL SELECT start, len, -1, unnest(range(len, ns + 1)) FROM f), "
-    "sc AS (SELECT pl.start, pl.len, dir, s0, sum(CASE WHEN p.grp = r.grp THEN conf ELSE -conf END) AS score, count(*) AS known FROM pl JOIN path p ON p.path_pos >= pl.start AND p.path_pos < pl.start + pl.len AND p.grp <> 0 JOIN res r ON r.residue_num = s0 + dir * (p.path_pos - pl.start) AND r.grp <> 0 GROUP BY 1, 2, 3, 4), "
-    "bs AS (SELECT *, score / known AS norm, row_number() OVER (PARTITION BY start ORDER BY score / known DESC, score DESC, s0 DESC, dir DESC, known DESC) AS k FROM sc), "
-    "vt AS (SELECT start + u.k AS path_pos, s0 + dir * u.k AS residue_num, greatest(0.001, norm + 1) AS weight, start FROM bs, unnest(range(len)) AS u(k) WHERE bs.k = 1), "
-    "tv AS (SELECT path_pos, residue_num, sum(weight) AS vote, min(start) AS first FROM vt GROUP BY 1, 2), "
-    "rk AS (SELECT *, row_number() OVER o AS k, coalesce(lead(vote) OVER o, 0) AS second, sum(vote) OVER (PARTITION BY path_pos) AS total FROM tv WINDOW o AS (PARTITION BY path_pos ORDER BY vote DESC, first, residue_num)), "
-    "tp AS (SELECT path_pos, residue_num, vote / total AS confidence, (vote - second) / total AS margin, total FROM rk WHERE k = 1), "
-    "ok AS (SELECT *, row_number() OVER (PARTITION BY residue_num ORDER BY confidence DESC, margin DESC, total DESC, path_pos) AS k FROM tp WHERE confidence >= 0.5 AND margin >= 0.3)"
+    f"{_PATH}, z AS (SELECT chain, (SELECT count(*) FROM path p WHERE p.chain = c.chain) AS np, (SELECT count(*) FROM res r WHERE r.chain = c.chain) AS ns FROM (SELECT DISTINCT chain FROM path) c), w AS (SELECT chain, np, ns, least(24, np, ns) AS win FROM z), "
+    "st AS (SELECT DISTINCT chain, ns, win, np, unnest(list_append(range(0, greatest(1, np - win + 1), 2), greatest(0, np - win))) AS start FROM w), f AS (SELECT chain, ns, start, least(win, np - start) AS len FROM st WHERE least(win, np - start) >= greatest(4, win // 2)), "
+    "pl AS (SELECT chain, start, len, 1 AS dir, unnest(range(1, ns - len + 2)) AS s0 FROM f UNION ALL SELECT chain, start, len, -1, unnest(range(len, ns + 1)) FROM f), "
+    "sc AS (SELECT pl.chain, pl.start, pl.len, dir, s0, sum(CASE WHEN p.grp = r.grp THEN conf ELSE -conf END) AS score, count(*) AS known FROM pl JOIN path p ON p.chain = pl.chain AND p.path_pos >= pl.start AND p.path_pos < pl.start + pl.len AND p.grp <> 0 JOIN res r ON r.chain = pl.chain AND r.residue_num = s0 + dir * (p.path_pos - pl.start) AND r.grp <> 0 GROUP BY 1, 2, 3, 4, 5), "
+    "bs AS (SELECT *, score / known AS norm, row_number() OVER (PARTITION BY chain, start ORDER BY score / known DESC, score DESC, s0 DESC, dir DESC, known DESC) AS k FROM sc), "
+    "vt AS (SELECT chain, start + u.k AS path_pos, s0 + dir * u.k AS residue_num, greatest(0.001, norm + 1) AS weight, start FROM bs, unnest(range(len)) AS u(k) WHERE bs.k = 1), "
+    "tv AS (SELECT chain, path_pos, residue_num, sum(weight) AS vote, min(start) AS first FROM vt GROUP BY 1, 2, 3), "
+    "rk AS (SELECT *, row_number() OVER o AS k, coalesce(lead(vote) OVER o, 0) AS second, sum(vote) OVER (PARTITION BY chain, path_pos) AS total FROM tv WINDOW o AS (PARTITION BY chain, path_pos ORDER BY vote DESC, first, residue_num)), "
+    "tp AS (SELECT chain, path_pos, residue_num, vote / total AS confidence, (vote - second) / total AS margin, total FROM rk WHERE k = 1), "
+    "ok AS (SELECT *, row_number() OVER (PARTITION BY chain, residue_num ORDER BY confidence DESC, margin DESC, total DESC, path_pos) AS k FROM tp WHERE confidence >= 0.5 AND margin >= 0.3)"
 )
 
 
 def _consensus(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    order = Window.orderBy("vec_id")  # one chain of one map
-    path = e.where(F.col("label").isin(0, 3, 6)).select((F.row_number().over(order) - 1).alias("path_pos"), F.when(F.col("vec_id") % 7 == 0, 0).when(F.col("label") < 5, 1).otherwise(-1).alias("grp"), (1.0 - (F.col("vec_id") % 4) * 0.25).alias("conf"))
-    res = e.where(F.col("label").isin(0, 3, 6, 9)).select(F.row_number().over(order).alias("residue_num"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("grp"))
-    return sequences.consensus(path, res)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    r = e.select(F.col("label").alias("chain"), F.col("vec_id").alias("id"), rank.alias("rn"), F.when((F.col("vec_id") * 13) % 11 < 5, 1).otherwise(-1).alias("g"))
+    path = r.select("chain", (F.col("rn") - 1).alias("path_pos"), F.when(F.col("id") % 7 == 0, 0).otherwise(F.col("g")).alias("grp"), (1.0 - (F.col("id") % 4) * 0.25).alias("conf"))
+    return sequences.consensus(path, r.where("rn > 3").select("chain", (F.col("rn") - 3).alias("residue_num"), F.col("g").alias("grp")), ["chain"])
 
 
-@query(f"WITH {_CONSENSUS} SELECT CAST(path_pos AS INT) AS path_pos, CAST(residue_num AS INT) AS residue_num, round(confidence, 6) AS confidence, round(margin, 6) AS margin, round(total, 6) AS total_vote FROM ok WHERE k = 1")
+@query(f"WITH {_CONSENSUS} SELECT chain, CAST(path_pos AS INT) AS path_pos, CAST(residue_num AS INT) AS residue_num, round(confidence, 6) AS confidence, round(margin, 6) AS margin, round(total, 6) AS total_vote FROM ok WHERE k = 1")
 def window_consensus(spark, sf_dir):
-    """Windows of a path voted onto a sequence."""
+    """Windows of each path voted onto its sequence."""
     c = _consensus(spark, sf_dir)
-    return c.select("path_pos", "residue_num", *[rounded(F.col(k)).alias(k) for k in ("confidence", "margin", "total_vote")])
+    return c.select("chain", "path_pos", "residue_num", *[rounded(F.col(k)).alias(k) for k in ("confidence", "margin", "total_vote")])
 
 
 _STEPS = "st AS (SELECT o_custkey AS k, CAST(row_number() OVER w AS INT) AS path_pos, CAST((o_orderkey // 3) % 3 + row_number() OVER w AS INT) AS residue_num FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
@@ -194,9 +197,9 @@ def fragment_runs(spark, sf_dir):
 @query()
 def fragment_anchors(spark, sf_dir):
     """Trimmed directed runs of the consensus with their statistics."""
-    c = _consensus(spark, sf_dir).withColumn("k", F.lit(0))
-    r = sequences.directed_runs(c.select("k", "path_pos", "residue_num", "confidence", "margin"), ["k"], "k int, path_pos int, residue_num int, confidence double, margin double")
-    return sequences.anchors(r, ["k"], 3, 1).select("run", "path_start", "path_end", "residue_start", "residue_end", "length", "direction", *[rounded(F.col(x)).alias(x) for x in ("mean_confidence", "min_confidence", "mean_margin", "min_margin")])
+    c = _consensus(spark, sf_dir).select("chain", "path_pos", "residue_num", "confidence", "margin")
+    r = sequences.directed_runs(c, ["chain"], "chain int, path_pos int, residue_num int, confidence double, margin double")
+    return sequences.anchors(r, ["chain"]).select("chain", "run", "path_start", "path_end", "residue_start", "residue_end", "length", "direction", *[rounded(F.col(x)).alias(x) for x in ("mean_confidence", "min_confidence", "mean_margin", "min_margin")])
 
 
 _CELL = "sc AS (SELECT CAST(l_orderkey % 10 AS INT) AS k, CAST(l_partkey % 30 AS INT) AS a, CAST(l_suppkey % 30 AS INT) AS s, round(sum(l_discount - 0.05), 6) AS score FROM lineitem GROUP BY 1, 2, 3)"

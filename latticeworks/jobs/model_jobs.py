@@ -258,7 +258,7 @@ def chain_caps(spark, sf_dir):
     return restraints.add_caps(restraints.strip_caps(p), ["chain"]).select("chain", "atom", rounded(F.col("x"), 5).alias("x"))
 
 
-@query(f"WITH {CHAINS} SELECT id, 100000.0 AS weight, round(x / 10, 6) + 0.0 AS x_nm, round(y / 10, 6) + 0.0 AS y_nm, round(z / 10, 6) + 0.0 AS z_nm FROM chains")
+@query(f"WITH {CHAINS} SELECT id, CAST(100000 AS DOUBLE) AS weight, round(x / 10, 6) + 0.0 AS x_nm, round(y / 10, 6) + 0.0 AS y_nm, round(z / 10, 6) + 0.0 AS z_nm FROM chains")
 def position_restraints(spark, sf_dir):
     """Harmonic restraints in nm."""
     r = restraints.position_restraints(chains(spark, sf_dir).withColumn("atom", F.lit("P")))

@@ -12,4 +12,4 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from latticeworks.session import local_session
 
-    return local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    return local_session(int(os.environ.get("TEST_CPUS", "4")), "tests", **{"spark.sql.shuffle.partitions": "4"})

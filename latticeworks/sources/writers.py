@@ -45,3 +45,11 @@ def write_grid(voxels: DataFrame, path: str, block: int = 64) -> None:
     """Voxels as Parquet, partitioned by map and block of planes, so that a box reads only what it touches."""
     placed = voxels.withColumn("block", F.floor(F.col("z") / block).cast("int"))
     placed.repartition("map_id", "block").sortWithinPartitions("z", "y", "x").write.mode("overwrite").partitionBy("map_id", "block").parquet(path)
+
+
+def copy_structure(spark, source: str, target: str) -> None:
+    """The lines of a fixed-width structure as they are; a file without any atom record is an error."""
+    lines = spark.read.text(source)
+    if lines.where(F.col("value").rlike("^(ATOM|HETATM)")).isEmpty():
+        raise ValueError(f"no atom record in {source}")
+    lines.write.mode("overwrite").text(target)

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,20 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a table scan."""
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared folder and return it as a table scan; ``zstd`` is for whole texts."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/latticeworks-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/latticeworks-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _MADE.append(folder)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialize`` returned and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table of this driver; call it once results that read them are written."""
+    _delete(spark, set(_MADE))
+    _MADE.clear()
+
+
+def _delete(spark: SparkSession, folders: set[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)

@@ -18,7 +18,7 @@ from .scratch import materialize
 from .textbytes import NON_ALNUM, combine, flat, slices, words
 
 #: Benchmark words that are looked up at a time; a larger benchmark is taken in several batches of items.
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 200_000
 #: Bytes of text in a block of the index (a longer document is a block of its own).
 BLOCK_BYTES = 1_000_000
 INDEX = "block long, term long, docs array<int>, positions array<int>, doc_ids array<long>"
@@ -112,7 +112,7 @@ def phrase_table(items: list[tuple[str, list[int]]], width: int, frequency: dict
     for size, found in by_width.items():
         phrases = np.array(list(found), np.int64).reshape(len(found), size)
         counts = np.array([frequency.get(h, 0) for h in phrases.ravel().tolist()], np.int64).reshape(phrases.shape)
-        out[size] = (phrases, np.argsort(counts, axis=1, kind="stable"), list(map(sorted, found.values())), counts.min(axis=1) > 0)
+        out[size] = (phrases, np.argsort(counts, axis=1, kind="stable").astype(np.int16), list(map(sorted, found.values())), counts.min(axis=1) > 0)
     return out
 
 

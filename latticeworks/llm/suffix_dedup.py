@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import drop, materialize
 from .textbytes import U64, flat, mix, prefix, slices, span_hash_of
 
 #: Positions that share an anchor at most, and the bytes that an anchor's hash covers.
-WINDOW, GRAM = 192, 16
+WINDOW, GRAM = 256, 16
 #: Suffixes that one shard sorts at a time; a context with more is split.
 SHARD = 60_000
+#: Bytes of text that a task works on at a time (a longer document stands alone).
+SLICE = 500_000
 _PLACE = 28  # bits of a position inside a slice
 
 
@@ -141,7 +143,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 at = offsets[i : j + 1]
                 row, anchor, first, last, h = anchors(data[at[0] : at[-1]], at - at[0], length)
                 base = (at - at[0])[row]
@@ -155,7 +157,8 @@ def _named(held: DataFrame, length: int) -> DataFrame:
     """rid, h, c1, c2, anchor, first, last: 128 bits that name all bytes which an anchor's strings touch."""
 
     def run(batches):
-        for batch in batches:
+        for whole_batch, i, j in ((b, i, j) for b in batches for i, j in slices(flat(b.column(1))[1], SLICE)):
+            batch = whole_batch.slice(i, j - i)
             data, offsets = flat(batch.column(1))
             sums = prefix(data)
             runs = batch.column(2)
@@ -229,7 +232,8 @@ def _repeated_starts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     found = materialize(_anchor_rows(docs, length), "anchors")
     twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     runs = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "anchor", "first", "last")).alias("runs"))
-    held = materialize(docs.select("rid", "body").join(runs, "rid"), "anchored")
+    held = materialize(docs.select("rid", "body").join(runs, "rid"), "anchored", "zstd")
+    drop(found)
     named = materialize(_named(held, length), "contexts")
     contexts = materialize(named.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "anchor", "first", "last")).alias("rep")), "distinct_contexts")
     bulk = named.join(contexts.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("rid", "first", "last")
@@ -255,13 +259,13 @@ def _merge(spans: list) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` (doc_id, text) as (rid, doc_id, body) and rid, removed, n_spans, kept (binary), kept_sha256.
 
-    A byte is removed if a string of ``length`` bytes (over WINDOW + GRAM) that covers it starts anywhere else too, in
+    A byte is removed if a string of ``length`` bytes (at least WINDOW + 4 * GRAM) that covers it starts anywhere else too, in
     the same document or another; all judged on the input. Only documents that lose bytes have a row in the second
     table. Null text is empty; a repeated row is another document, so both lose what they share.
     """
-    if length < WINDOW + GRAM:
-        raise ValueError(f"length must be at least {WINDOW + GRAM}")
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")), "suffix_docs")
+    if length < WINDOW + 4 * GRAM:
+        raise ValueError(f"length must be at least {WINDOW + 4 * GRAM}")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")), "suffix_docs", "zstd")
     held, starts = _repeated_starts(rows, length)
     spans = starts.groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("b"), (F.col("last") + length).alias("e"))).alias("spans"))
 

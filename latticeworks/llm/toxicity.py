@@ -28,23 +28,45 @@ TRAINING_ROWS = 20_000
 #: Entries of the learned lexicon at most, and candidates counted for it.
 ENTRIES, CANDIDATES = 3000, 30_000
 _PREFIXES = (4, 5, 6, 7)
-_MAP = str.maketrans({**{k: v for k, v in HOMOGLYPHS.items()}, **{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, "​": None, "‌": None, "‍": None, "­": None})
+_SAME = {**HOMOGLYPHS, **{chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}, **dict.fromkeys("\u200b\u200c\u200d\u00ad", "")}
+
+
+class _Letters(dict):
+    """What each character becomes: its look-alike, itself if it belongs to a word, else a space; filled as met."""
+
+    def __missing__(self, code: int) -> str:
+        seen = _SAME.get(chr(code), chr(code))
+        self[code] = seen if not seen or seen.isalnum() else " "
+        return self[code]
+
+
+_MAP = _Letters()
 _DIGITS = str.maketrans({k: v for k, v in DIGITS.items() if k.isdigit()})
-_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
-_MIXED = re.compile(r"[^\W_]*[^\W\d_][0-9]+[^\W_]*|[^\W_]*[0-9]+[^\W\d_][^\W_]*")
-_GAP = re.compile(r"[\W_]+")
+_SIGN = re.compile(r"[@$!](?=[^\W\d_])")
+_RUN = re.compile(r"[0-9]+")
+
+
+def _sign(m: re.Match) -> str:
+    at, text = m.start(), m.string
+    return DIGITS[m[0]] if at and text[at - 1].isalpha() else m[0]
+
+
+def _digits(m: re.Match) -> str:
+    (b, e), text = m.span(), m.string
+    inside = (b and text[b - 1].isalpha()) or (e < len(text) and text[e].isalpha())
+    return m[0].translate(_DIGITS) if inside else m[0]
 
 
 def fold(text: str) -> str:
-    """The words of ``text`` folded to look-alike Latin letters, each between single spaces."""
+    """The words of ``text`` folded to look-alike Latin letters, each between single spaces.
+
+    A sign stands for a letter between two letters, a run of digits next to one.
+    """
     text = text.lower()
-    if not text.isascii():
-        text = text.translate(_MAP)
     if "@" in text or "$" in text or "!" in text:
-        text = _SIGN.sub(lambda m: DIGITS[m[0]], text)
-    if _MIXED.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_DIGITS), text)
-    return " " + _GAP.sub(" ", text).strip() + " "
+        text = _SIGN.sub(_sign, text)
+    text = _RUN.sub(_digits, text)
+    return " " + " ".join(text.translate(_MAP).split()) + " "
 
 
 @dataclass

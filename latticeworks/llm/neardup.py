@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     sig = materialize(signatures(docs, size), "signatures")
     classes = materialize(sig.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("center"), F.sum(F.xxhash64("rep").cast("decimal(30,0)")).alias("members")).where("n > 1"), "buckets")
-    crowded = materialize(banded.join(buckets.select("bucket", "n", "center"), "bucket"), "banded")
+    buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1"), "buckets")
+    crowded = materialize(banded.join(buckets.select("bucket", "center"), "bucket"), "banded")
     star = materialize(crowded.where("rep != center").groupBy(F.col("center").alias("a"), F.col("rep").alias("b")).count(), "stars")
     wanted = star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct()
     shingles = materialize(_shingles_of(docs, classes.select("rep", "set_a", "set_b").join(wanted, "rep"), size), "shingles")
@@ -232,10 +232,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     apart = star.select("a", "b").join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     links = materialize(links.union(_confirmed(apart, shingles, percent)), "links")
     labels = connected_components(links)
-    once = buckets.where("n > 2").groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = crowded.join(once, "bucket", "left_semi").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    links = materialize(links.union(_block_links(members.join(mixed, "bucket", "left_semi"), shingles, percent)), "links")
+    label_of = labels.select(F.col("id").alias("rep"), "label")
+    each = classes.join(label_of, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.explode("bands").alias("bucket"))
+    held = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(30,0)")).alias("members")).where("n > 2 and lo != hi")
+    once = held.groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # equal buckets of several bands count once
+    links = materialize(links.union(_block_links(each.join(once, "bucket"), shingles, percent)), "links")
     labels = connected_components(links)
     named = classes.select("set_a", "set_b", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")

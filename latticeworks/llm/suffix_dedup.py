@@ -230,7 +230,7 @@ def _sorted_repeats(tuples: DataFrame, length: int) -> DataFrame:
 def _repeated_starts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Documents that hold a repeated anchor (rid, body, runs), and the repeated starts (rid, first, last) found in them."""
     found = materialize(_anchor_rows(docs, length), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")  # a table, so that a frequent h is a skewed join that Spark can split
     runs = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "anchor", "first", "last")).alias("runs"))
     held = materialize(docs.select("rid", "body").join(runs, "rid"), "anchored", "zstd")
     drop(found)

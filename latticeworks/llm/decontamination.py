@@ -127,9 +127,11 @@ class _Lists:
         take = np.repeat(start[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(int(sizes.sum()))
         self.begin = np.concatenate([[0], np.cumsum(sizes[order])])
         self.docs, self.positions = docs[take].astype(np.int64), positions[take].astype(np.int64)
-        self.keys = (np.repeat(np.arange(len(order)), sizes[order]).astype(np.int64) << 48) | (self.docs << 32) | self.positions if len(docs) == 0 or self.docs.max() < 1 << 16 else None
-        if self.keys is None:  # very many documents in a block: rank the triples instead
-            self.wide = np.rec.fromarrays([np.repeat(np.arange(len(order)), sizes[order]), self.docs, self.positions])
+        self.reach = np.zeros(int(self.docs.max(initial=-1)) + 1, np.int64)  # words of each document up to its last posting
+        np.maximum.at(self.reach, self.docs, self.positions + 1)
+        self.first = np.cumsum(self.reach) - self.reach
+        self.room = int(self.reach.sum())  # terms times words of a block stay far below 2 ** 63
+        self.keys = np.repeat(np.arange(len(order)), sizes[order]) * self.room + self.first[self.docs] + self.positions
 
     def ordinal(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.terms):
@@ -138,13 +140,11 @@ class _Lists:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def holds(self, term: np.ndarray, doc: np.ndarray, position: np.ndarray) -> np.ndarray:
-        if self.keys is None:
-            probe = np.rec.fromarrays([term, doc, position])
-            at = np.minimum(np.searchsorted(self.wide, probe), len(self.wide) - 1)
-            return self.wide[at] == probe
-        probe = (term << 48) | (doc << 32) | position
+        if not len(self.keys):
+            return np.zeros(len(term), bool)
+        probe = term * self.room + self.first[doc] + position
         at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-        return (self.keys[at] == probe) & (position >= 0)
+        return (self.keys[at] == probe) & (position >= 0) & (position < self.reach[doc])
 
 
 def _starts(lists: _Lists, phrases: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

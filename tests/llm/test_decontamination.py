@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from latticeworks.llm import decontamination
 
 
@@ -47,3 +49,25 @@ def test_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(empty, none).count() == 0
     assert decontamination.contamination(docs, none).where("contaminated").count() == 0
+
+
+def test_many_terms_in_a_block(spark):
+    """70,000 distinct benchmark words in one block: no hit is lost, and words in another order are none."""
+    ws = [f"v{k}" for k in range(70_000)]
+    docs = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(reversed(ws))[:400_000])], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert got[1] == (70_000, 70_000) and got[2][1] == 0
+
+
+def test_lists_hold_what_they_were_given():
+    rng = np.random.default_rng(3)
+    for n_terms, n_docs in ((70_000, 3), (5, 70_000), (40_000, 70_000), (1, 1)):
+        rows = np.unique(np.stack([rng.integers(0, n_terms, 90_000), rng.integers(0, n_docs, 90_000), rng.integers(0, 50, 90_000)], axis=1), axis=0)
+        term, sizes = np.unique(rows[:, 0], return_counts=True)
+        lists = decontamination._Lists(term, sizes, rows[:, 1].astype(np.int32), rows[:, 2].astype(np.int32))
+        probe = np.stack([rng.integers(0, len(term), 90_000), rows[rng.integers(0, len(rows), 90_000), 1], rng.integers(-3, 60, 90_000)], axis=1)
+        held = np.stack([np.searchsorted(term, rows[:, 0]), rows[:, 1], rows[:, 2]], axis=1)
+        probe[: len(held) // 2] = held[: len(held) // 2]
+        known = set(map(tuple, held.tolist()))
+        assert lists.holds(*probe.T).tolist() == [tuple(x) in known for x in probe.tolist()]

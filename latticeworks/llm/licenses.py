@@ -1,8 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block (line) contains a template if it holds at least ``threshold`` of the template's distinct words (all, if few). Words are put in
-one global order, rarest first over all blocks; a block can only contain a template if a word of the template's short
-prefix is in the block's prefix, if the block is long enough, and if enough words remain behind the first shared one.
+A block (a line, or across lines as many consecutive words as the template has) contains a template if it holds at least
+``threshold`` of the template's distinct words (all, if few). For lines, words are put in one global order, rarest first over all blocks; a block can only contain a template if a word of the template's short
+prefix is in the block's prefix, if the block is long enough, and if enough words remain behind the first shared one. Words
+across lines are looked at where the whole text holds enough of a template and enough of its words stand near each other.
 Only DataFrame functions are used.
 """
 
@@ -39,6 +40,36 @@ def block_tokens(docs: DataFrame, vocabulary: list[str], separator: str = "\n")
     return lines.select("key", "block", held.alias("tokens")).where(F.size("tokens") > 0)
 
 
+def _need(words: int, threshold: float) -> int:
+    return words if words < SHORT else math.ceil(threshold * words - 1e-9)
+
+
+def _let(value, body):
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def window_matches(docs: DataFrame, templates: dict[str, tuple[str, ...]], threshold: float, separator: str = "\n") -> DataFrame:
+    """key, label, containment of the best window of each text of several lines for each template that one reaches.
+
+    A window is any run of as many consecutive words as the template has, wherever the lines break. Windows that start
+    at a word of the template are enough; of these only such are compared whose next ``need`` template words fit.
+    """
+    kinds = [(label, text.split(), set(text.split())) for label, texts in templates.items() for text in texts]
+    literal = [F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, sorted(own))).alias("own"), F.lit(_need(len(own), threshold)).alias("need"), F.lit(len(words)).alias("length")) for label, words, own in kinds]
+    vocabulary = F.array(*map(F.lit, sorted({w for _, _, own in kinds for w in own})))
+    words = F.split(F.lower("text"), SEPARATORS)
+    reached = _let(F.array_intersect(words, vocabulary), lambda held: F.filter(F.array(*literal), lambda t: F.size(F.array_intersect(held, t["own"])) >= t["need"]))
+    wanted = docs.where(F.col("text").rlike(separator)).select("key", "text", F.explode(reached).alias("t"))
+    t, at = F.col("t"), lambda places, k: F.element_at(places, k.cast("int"))
+    places = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(t["own"], F.element_at(w, i)))
+    starts = lambda p: F.filter(F.sequence(F.lit(1), F.size(p) - t["need"] + 1), lambda k: at(p, k + t["need"] - 1) - at(p, k) < t["length"])
+    largest = lambda w, p: F.array_max(F.transform(starts(p), lambda k: F.size(F.array_intersect(F.slice(w, at(p, k), t["length"]), t["own"]))))
+    common = _let(words, lambda w: _let(places(w), lambda p: largest(w, p)))
+    best = wanted.select("key", "t.label", common.alias("common"), "t.need", F.size("t.own").alias("of")).where("common >= need")
+    return best.select("key", "label", (F.col("common") / F.col("of")).alias("containment"))
+
+
 def containment_join(blocks: DataFrame, templates: dict[str, tuple[str, ...]], threshold: float) -> DataFrame:
     """key, block, label, containment of every block that holds at least ``threshold`` of a template's words.
 
@@ -53,7 +84,7 @@ def containment_join(blocks: DataFrame, templates: dict[str, tuple[str, ...]], t
     rows, prefix_words = [], set()
     for number, (label, words) in enumerate(sets):
         words = sorted(words, key=place.__getitem__)
-        need = len(words) if len(words) < SHORT else math.ceil(threshold * len(words) - 1e-9)
+        need = _need(len(words), threshold)
         for at, word in enumerate(words[: len(words) - need + 1]):
             rows.append((number, label, words, need, at, word))
             prefix_words.add(word)
@@ -78,14 +109,15 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base places are where a phrase's words stand consecutively, also across lines. Labels are those of the phrases and
-    of the templates that some line contains; the score is 1 with a base place, else the largest containment, else 0.
+    of the templates that some line, or some window across lines, contains; the score is 1 with a base place, else the largest containment, else 0.
     Null text is empty: no words, no labels. Repeated rows each come back; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text")).withColumn("key", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text", "doc_id").alias("b")))
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in t.split()})
     blocks = materialize(block_tokens(docs, vocabulary, separator), "license_blocks")
-    matches = containment_join(blocks, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    found = containment_join(blocks, templates, threshold).drop("block").union(window_matches(docs, templates, threshold, separator))
+    matches = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     plain = docs.select("doc_id", "key", F.trim(F.regexp_replace("text", SEPARATORS, " ")).alias("plain"))
     n_words = F.when(F.length("plain") == 0, 0).otherwise(_spaces(F.col("plain")) + 1).cast("long")
     hit = F.col("plain").rlike("(?i)" + "|".join(PHRASES))

@@ -40,5 +40,37 @@ def test_join_loses_no_block(spark, docs, texts):
     assert got == want and want
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "mpl": "# This Source Code Form is subject to the terms of the Mozilla Public\r\n# License, v. 2.0. If a copy of the MPL was not distributed with this",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(label, text) for label, text in WRAPPED.items()] + [(f"{label} in a text", "some words\n\n" * 30 + text + "\nmore words" * 30) for label, text in WRAPPED.items()]
+    rows += [(f"{label} word by word", "x\n" + "\n".join(text.split())) for label, text in WRAPPED.items()]
+    rows += [(f"no {label}", "\n".join(f"{w} a b c" for w in text.split())) for label, text in WRAPPED.items()]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: "" if i.startswith("no ") else i[:3] for i, _ in rows}
+    assert got["bsd"][1] == got["mit"][1] == got["mpl"][1] == 1.0
+
+
+def test_windows_equal_a_plain_count(spark, docs, texts):
+    chosen = {"a": texts[7].split()[:12], "b": texts[9].split()[:9], "c": texts[8].split()[3:7]}
+    shuffled = [(10_000 + k, "\n".join(" ".join(c[(k + j) % len(c)] for j in range(s, s + 4)) for s in range(0, 12, 4))) for k, c in enumerate([*chosen.values()] * 3)]
+    keyed = docs.selectExpr("doc_id as key", "coalesce(text, '') as text").union(spark.createDataFrame(shuffled, "key long, text string"))
+    got = {(r["key"], r["label"]): round(r["containment"], 9) for r in licenses.window_matches(keyed, {k: (" ".join(c),) for k, c in chosen.items()}, 0.6).collect()}
+    want = {}
+    for i, t in [*texts.items(), *shuffled]:
+        ws = re.split(licenses.SEPARATORS, (t or "").lower())
+        for label, c in chosen.items() if "\n" in (t or "") else ():
+            n = len(set(c))
+            best = max(len(set(ws[k : k + len(c)]) & set(c)) for k in range(len(ws)))
+            if best >= (-(-n * 6 // 10) if n >= licenses.SHORT else n):
+                want[i, label] = round(best / n, 9)
+    assert got == want and want
+
+
 def test_empty(empty):
     assert licenses.license_scan(empty).count() == 0

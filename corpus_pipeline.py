@@ -14,18 +14,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, lexicon)
 
 
+def _numbered(docs: DataFrame, *order) -> tuple[DataFrame, str]:
+    """The rows with a number each, in ``order`` if given, as a table that later reads agree on; the number's column."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    return materialize((docs.orderBy(*order) if order else docs).withColumn(name, functions.monotonically_increasing_id()), "numbered", "zstd"), name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at five-word similarity 0.8, the one with the smallest doc_id."""
-    groups = neardup.near_duplicates(docs, percent=80)
-    kept = groups.where("kept").select(groups["doc_id"].alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    rows, number = _numbered(docs, functions.col("doc_id").asc_nulls_last(), functions.xxhash64("text"))
+    groups = neardup.near_duplicates(rows.select(functions.col(number).alias("doc_id"), "text"), percent=80)
+    kept = groups.where("kept").select(groups["doc_id"].alias(number))
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item, or a whole shorter one."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(found["doc_id"].alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    rows, number = _numbered(docs)
+    found = decontamination.contamination(rows.select(functions.col(number).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("contaminated").select(found["doc_id"].alias(number))
+    return rows.join(hit, number, "left_anti").select(docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,12 @@ import pyarrow as pa
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = int(_RNG.integers(2**40, 2**62)) | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Hashes are polynomials over a prime field, so that no structure of a text makes two spans collide.
+PRIME = (1 << 31) - 1
+_P, _SHIFT = U64(PRIME), U64(31)
+_BYTE = _RNG.integers(1, PRIME, 256).astype(U64)
+#: Two independent points for each family of 62-bit hashes.
+_POINTS = _RNG.integers(1 << 20, PRIME - 1, (2, 2)).tolist()
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,19 +33,27 @@ NON_ALNUM[48:58] = NON_ALNUM[97:123] = NON_ALNUM[65:91] = False
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n at least; grown by doubling and kept for the task's process."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (_BASE, _INVERSE):
-                p = np.full(size, base, U64)
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-        _powers.clear()
-        _powers[size] = (made[0], made[1])
-    return _powers[size]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number that is the same modulo PRIME, below 2**34 for any 64 bits."""
+    return (x & _P) + (x >> _SHIFT)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
+
+def powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """point**i and point**-i modulo PRIME for i < n at least; grown by doubling and kept for the task's process."""
+    if point not in _powers or len(_powers[point][0]) < n:
+        made = []
+        for base in (point, pow(point, -1, PRIME)):
+            p = np.ones(1, U64)
+            while len(p) < max(n, 1 << 16):
+                p = np.concatenate([p, _residue(p * U64(pow(base, len(p), PRIME)))])
+            made.append(p)
+        _powers[point] = (made[0], made[1])
+    return _powers[point]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,7 +77,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (a longer row stands alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -95,23 +106,40 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
     return np.searchsorted(offsets, begin, "right") - 1, begin, end, span_hash(LOWER[data], begin, end)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash_of takes the hash of any span."""
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
-    return out
+class Sums:
+    """Prefix sums of a sequence of codes (1 to PRIME - 1), from which the hash of any span is taken."""
 
+    def __init__(self, codes: np.ndarray, family: int = 0):
+        self.points, self.size = _POINTS[family], len(codes)
+        self.sums = np.zeros((2, len(codes) + 1), U64)
+        for out, point in zip(self.sums, self.points, strict=True):
+            np.cumsum(_fold(codes * powers(point, len(codes) + 1)[0][: len(codes)]), out=out[1:])
 
-def span_hash_of(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        raw = (sums[end] - sums[begin]) * powers(len(sums))[1][begin]
-        return mix(raw + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of spans; equal codes give equal hashes wherever they stand."""
+        one, two = (_residue(_fold(s[end] - s[begin]) * powers(p, self.size + 1)[1][begin]) for s, p in zip(self.sums, self.points, strict=True))
+        with np.errstate(over="ignore"):
+            return mix((one | (two << U64(32))) + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def prefix(data: np.ndarray, family: int = 0) -> Sums:
+    """Prefix sums of bytes; hashes of different families are independent."""
+    return Sums(_BYTE[data], family)
 
 
 def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    return span_hash_of(prefix(data), begin, end)
+    return prefix(data).hashes(begin, end)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the 16 bytes at each place that has as many; distinct bytes hardly ever collide."""
+    if len(data) < 16:
+        return np.zeros(0, U64)
+    data = np.ascontiguousarray(data)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(U64)
+    with np.errstate(over="ignore"):
+        return mix(mix(eight[:-8]) * U64(0x100000001B3) + eight[8:])
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:

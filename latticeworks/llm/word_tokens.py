@@ -2,7 +2,7 @@
 
 The vocabulary's rules cut a normalised text into words and encode each word alone, so a word's ids never depend on
 its neighbours. Texts over Latin letters are cut with array operations and each distinct word is encoded once; any text
-with another character goes through the tokenizer as it is.
+with another character, or with the string of an added token, goes through the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .textbytes import mix, powers
+from .textbytes import PRIME, Sums
 
 U64 = np.uint64
 _LIMIT = 0x250
 _SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0)
 #: Distinct words that one worker remembers; then it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +32,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             lower[cp] = ord(low)
             category = unicodedata.category(low)
             kind[cp] = {"L": 1, "N": 2}.get(category[0], 3)
-    return kind, lower, np.random.default_rng(77).integers(1, 2**63, _LIMIT, dtype=np.uint64) | U64(1)
+    return kind, lower, np.random.default_rng(77).integers(1, PRIME, _LIMIT).astype(U64)
 
 
 class WordTokens:
@@ -42,18 +42,28 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.lower, self.code = _tables()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.old, self.young = (tuple(np.zeros(0, t) for t in (U64, np.int64)) for _ in range(2))  # sorted hashes and their slots
         self.starts, self.sizes, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of sorted hashes, -1 where one is not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, slots in (self.old, self.young):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, slots[at], out)
+        return out
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        first = self.n
         for i in range(0, len(texts), 4096):
-            for h, e in zip(hashes[i : i + 4096], self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False), strict=True):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
                 ids = e.ids
                 while self.used + len(ids) > len(self.pool):
                     self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -61,9 +71,17 @@ class WordTokens:
                     self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
                 self.pool[self.used : self.used + len(ids)] = ids
                 self.starts[self.n], self.sizes[self.n] = self.used, len(ids)
-                self.known[h] = self.n
                 self.n += 1
                 self.used += len(ids)
+        self.young = self._merged(self.young, (hashes, np.arange(first, self.n)))
+        if len(self.young[0]) * 4 > len(self.old[0]):
+            self.old, self.young = self._merged(self.old, self.young), tuple(x[:0] for x in self.young)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys, slots = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], slots[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each text, given as UTF-8 bytes and row offsets."""
@@ -75,7 +93,7 @@ class WordTokens:
         inside = np.minimum(raw, _LIMIT - 1)
         kind = self.kind[inside]
         kind[raw >= _LIMIT] = 9
-        odd = np.unique(np.searchsorted(at, np.flatnonzero(kind == 9), "right") - 1)
+        odd = np.unique(np.concatenate([np.searchsorted(at, np.flatnonzero(kind == 9), "right") - 1, self._with_added(data, offsets)]))
         whole = {int(r): np.array(self.tokenizer.encode(raw[at[r] : at[r + 1]].tobytes().decode("utf-32-le"), add_special_tokens=False).ids, np.uint32) for r in odd}
         for r in odd:
             kind[at[r] : at[r + 1]] = 0
@@ -91,21 +109,18 @@ class WordTokens:
         begin, end = edges[:-1], edges[1:]
         real = kind[begin] != 0
         begin, end = begin[real], end[real]
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, U64)
-            forward, back = powers(n + 1)
-            np.cumsum(self.code[cps] * forward[:n], out=sums[1:])
-            hashes = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(U64))
+        hashes = Sums(self.code[cps]).hashes(begin, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        if self.n > CACHE_WORDS:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
+        slots = self._slots(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             text = cps.tobytes().decode("utf-32-le")
             spans = first[new]
-            self._learn([keys[i] for i in new], [text[b:e] for b, e in zip(begin[spans].tolist(), end[spans].tolist(), strict=True)])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+            self._learn(distinct[new], [text[b:e] for b, e in zip(begin[spans].tolist(), end[spans].tolist(), strict=True)])
+            slots = self._slots(distinct)
+        slot = slots[which]
         sizes = self.sizes[slot]
         before = np.cumsum(sizes) - sizes
         ids = self.pool[np.repeat(self.starts[slot] - before, sizes) + np.arange(int(sizes.sum()))]
@@ -113,6 +128,16 @@ class WordTokens:
         for r in range(rows):
             yield whole[r] if r in whole else ids[cut[r] : cut[r + 1]]
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows whose text holds the string of an added token, which the tokenizer takes as that token."""
+        text, found = data.tobytes(), []
+        for content in self.added:
+            spot = text.find(content)
+            while spot >= 0:
+                found.append(spot)
+                spot = text.find(content, spot + 1)
+        return np.searchsorted(offsets, np.array(found, np.int64), "right") - 1
+
     @staticmethod
     def _contractions(cps: np.ndarray, start: np.ndarray, at: np.ndarray) -> None:
         """An apostrophe that begins a word takes 's 't 'm 'd 're 've 'll along; what follows is a word of its own."""

@@ -14,27 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a local folder for a local master, else an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-latticeworks-")
     return _LOCAL["dir"]
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a table scan; ``zstd`` is for whole texts."""
+    """Write ``df`` once to the shared folder and return it as a table scan; ``zstd`` is for whole texts.
+
+    Shuffle files of the write go when it ends: the table stands for them from then on.
+    """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/latticeworks-{uuid.uuid4().hex}"
     path = f"{folder}/{name}"
     _MADE.append(folder)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -43,6 +54,19 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def mark() -> int:
+    """A point in time for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, point: int, *kept: DataFrame) -> None:
+    """Delete the tables made since ``mark`` but those of ``kept``, once nothing else reads them any more."""
+    stay = {f.rstrip("/").rsplit("/", 1)[1] for k in kept for f in (x.rsplit("/", 2)[0] for x in k.inputFiles())}
+    old = [f for f in _MADE[point:] if f.rsplit("/", 1)[1] not in stay]
+    _delete(spark, set(old))
+    _MADE[point:] = [f for f in _MADE[point:] if f not in old]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table of this driver; call it once results that read them are written."""
     _delete(spark, set(_MADE))

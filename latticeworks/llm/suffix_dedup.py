@@ -1,6 +1,6 @@
 """Exact removal of long repeated byte strings by induced suffix sorting over shards.
 
-Every window of ``WINDOW`` positions chooses an anchor, its smallest hashed 16-gram, from its own bytes, so equal strings
+Every window of positions chooses an anchor, its smallest hashed 16-gram, from its own bytes, so equal strings
 choose the same anchor at the same distance; only strings behind anchors that repeat can repeat. Around those anchors
 suffixes are sorted as in external induced sorting: Spark deals the suffix tuples into shards by the name of their
 anchor's context (its shuffle is the disk-backed queue), anchor suffixes are sorted once with their common prefixes,
@@ -15,48 +15,51 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize
-from .textbytes import U64, flat, mix, prefix, slices, span_hash_of
+from .scratch import drop, drop_since, mark, materialize
+from .textbytes import U64, flat, grams, mix, prefix, slices
 
-#: Positions that share an anchor at most, and the bytes that an anchor's hash covers.
-WINDOW, GRAM = 256, 16
+#: Bytes that an anchor's hash covers, and the share of a string's length whose positions share an anchor at most.
+GRAM, WINDOW_SHARE = 16, 0.64
 #: Suffixes that one shard sorts at a time; a context with more is split.
-SHARD = 60_000
+SHARD = 8_000
+#: Bytes of a repeated passage that op1 reports beside what it removes: some fifty words.
+PASSAGE = 256
 #: Bytes of text that a task works on at a time (a longer document stands alone).
 SLICE = 500_000
-_PLACE = 28  # bits of a position inside a slice
+_PLACE = 31  # bits of a position; no value of a table is longer
+
+
+def window(length: int) -> int:
+    """Positions that share an anchor at most, for strings of ``length`` bytes."""
+    return int(length * WINDOW_SHARE)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts with one anchor: row, anchor, first start, last start (bytes of the slice), context hash.
 
     A start is the first byte of a string of ``length`` bytes inside its row; the context is what all strings that this
-    anchor can serve share to its right, ``length`` - ``WINDOW`` + 1 bytes.
+    anchor can serve share to its right, ``length`` - ``window(length)`` + 1 bytes.
     """
-    n, row_end = len(data), np.repeat(offsets[1:], np.diff(offsets))
+    n, row_end, reach = len(data), np.repeat(offsets[1:], np.diff(offsets)), window(length)
     none = np.zeros(0, np.int64)
     starts = np.flatnonzero(np.arange(n) + length <= row_end)
     if not len(starts):
         return none, none, none, none, np.zeros(0, U64)
-    if n >= 1 << _PLACE:
-        raise ValueError(f"a text of {n} bytes is beyond the {1 << _PLACE} bytes that a task takes")
-    sums = prefix(data)
-    at = np.arange(n - GRAM + 1)
-    key = (span_hash_of(sums, at, at + GRAM) & ~U64((1 << _PLACE) - 1)) | at.astype(U64)
+    key = (grams(data) & ~U64((1 << _PLACE) - 1)) | np.arange(n - GRAM + 1).astype(U64)
     size = 1
-    while size * 2 <= WINDOW:
+    while size * 2 <= reach:
         key = np.minimum(key[: len(key) - size], key[size:])
         size *= 2
-    if size < WINDOW:
-        key = np.minimum(key[: len(key) - (WINDOW - size)], key[WINDOW - size :])
+    if size < reach:
+        key = np.minimum(key[: len(key) - (reach - size)], key[reach - size :])
     chosen = (key[starts] & U64((1 << _PLACE) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.append(first[1:], len(starts)) - 1
     anchor = chosen[first]
-    context = span_hash_of(sums, anchor, anchor + length - WINDOW + 1)
+    context = prefix(data).hashes(anchor, anchor + length - reach + 1)
     return np.searchsorted(offsets, starts[first], "right") - 1, anchor, starts[first], starts[last], context
 
 
@@ -154,24 +157,23 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _named(held: DataFrame, length: int) -> DataFrame:
-    """rid, h, c1, c2, anchor, first, last: 128 bits that name all bytes which an anchor's strings touch."""
+    """rid, h, c1, c2, anchor, first, last: two independent hashes that name all bytes which an anchor's strings touch."""
 
     def run(batches):
         for whole_batch, i, j in ((b, i, j) for b in batches for i, j in slices(flat(b.column(1))[1], SLICE)):
             batch = whole_batch.slice(i, j - i)
             data, offsets = flat(batch.column(1))
-            sums = prefix(data)
+            one, two = prefix(data), prefix(data, 1)
             runs = batch.column(2)
             sizes = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
             parts = runs.flatten()
             h, anchor, first, last = (parts.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             base = offsets[row]
-            whole = span_hash_of(sums, base + first, base + last + length)
+            c1 = one.hashes(base + first, base + last + length)
             with np.errstate(over="ignore"):
-                left = span_hash_of(sums, base + first, base + anchor + 1) + (last - first).astype(U64) * U64(0x9E3779B97F4A7C15)
-                c2 = mix(left) ^ span_hash_of(sums, base + anchor, base + last + length)
-            cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(whole.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(anchor), pa.array(first), pa.array(last)]
+                c2 = mix(two.hashes(base + first, base + last + length) + (anchor - first).astype(U64) * U64(0x9E3779B97F4A7C15))
+            cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(anchor), pa.array(first), pa.array(last)]
             yield pa.RecordBatch.from_arrays(cols, ["rid", "h", "c1", "c2", "anchor", "first", "last"])
 
     return held.select("rid", "body", "runs").mapInArrow(run, "rid long, h long, c1 long, c2 long, anchor int, first int, last int")
@@ -184,7 +186,7 @@ def _split_hot(tuples: DataFrame, length: int) -> tuple[DataFrame, DataFrame | N
     that its strings share, and a name that only one tuple has can hold no repeat. At a single distance the name is the
     string itself, so that tuples which still share it are repeats: they come back apart (rid, first, last).
     """
-    done, known, rows = None, None, materialize(tuples.withColumn("name", F.col("h")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(WINDOW - 1)), "suffix_tuples")
+    done, known, rows = None, None, materialize(tuples.withColumn("name", F.col("h")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(window(length) - 1)), "suffix_tuples")
     while True:
         counts = rows.groupBy("name").agg(F.count("*").alias("m"))
         hot = materialize(counts.where((F.col("m") > SHARD)).select("name"), "hot_names")
@@ -246,52 +248,66 @@ def _repeated_starts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     return held, starts if equal is None else starts.union(equal)
 
 
-def _merge(spans: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for b, e in sorted(spans):
-        if out and b <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((b, e))
-    return out
+def _covered(starts: DataFrame, length: int, name: str) -> DataFrame:
+    """rid and ``name``: the maximal runs of bytes, in order, that strings of ``length`` bytes from these starts cover."""
+    line = Window.partitionBy("rid").orderBy("first", "last")
+    ends = starts.select("rid", "first", "last", (F.col("last") + length).alias("end"))
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ends.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(0)))
+    runs = marked.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "run").agg(F.min("first").alias("b"), F.max("end").alias("e"))
+    return runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias(name))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` (doc_id, text) as (rid, doc_id, body) and rid, removed, n_spans, kept (binary), kept_sha256.
+def repeated_spans(docs: DataFrame, length: int = 400, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, text) as (rid, doc_id, body) and rid, removed, n_spans, kept (binary), kept_sha256,
+    passages of the documents that hold a repeat.
 
-    A byte is removed if a string of ``length`` bytes (at least WINDOW + 4 * GRAM) that covers it starts anywhere else too, in
-    the same document or another; all judged on the input. Only documents that lose bytes have a row in the second
-    table. Null text is empty; a repeated row is another document, so both lose what they share.
+    A byte is removed if a string of ``length`` bytes (at least 4 * GRAM) that covers it starts anywhere else too, in
+    the same document or another; all judged on the input. ``passages`` counts the bytes that strings of ``passage``
+    bytes (at most ``length``, and that by default) cover in the same way: shorter repeats, which are reported but stay.
+    Only documents with such bytes have a row in the second table. Null text is empty; a repeated row is another
+    document, so both lose what they share. A text may be as long as a value of a table; each is held whole by one task.
     """
-    if length < WINDOW + 4 * GRAM:
-        raise ValueError(f"length must be at least {WINDOW + 4 * GRAM}")
+    passage = passage or length
+    if not 4 * GRAM <= passage <= length:
+        raise ValueError(f"need {4 * GRAM} <= passage <= length")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")), "suffix_docs", "zstd")
-    held, starts = _repeated_starts(rows, length)
-    spans = starts.groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("b"), (F.col("last") + length).alias("e"))).alias("spans"))
+    made = mark()
+    held, short = _repeated_starts(rows, passage)
+    some = held.select("rid", "body").join(_covered(short, passage, "short"), "rid")
+    if passage == length:
+        found = some.withColumn("long", F.col("short"))
+    else:
+        some = materialize(some, "passages", "zstd")
+        drop_since(rows.sparkSession, made, some)
+        # a longer string repeats only where shorter ones that start at each of its places do, in one run
+        likely = some.where(F.exists("short", lambda s: s["e"] - s["b"] >= length)).select("rid", "body")
+        _, starts = _repeated_starts(likely, length)
+        found = some.join(_covered(starts, length, "long"), "rid", "left")
 
     def cut(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            body, columns = batch.column(1), [[], [], [], [], []]
             for k in range(len(batch)):
-                body = memoryview(batch.column(1)[k].as_buffer())
-                merged = _merge([(s["b"], s["e"]) for s in batch.column(2)[k].as_py()])
+                text = memoryview(body[k].as_buffer())
+                long, short = batch.column(2)[k].as_py() or [], batch.column(3)[k].as_py()
                 kept, at = bytearray(), 0
-                for b, e in merged:
-                    kept += body[at:b]
-                    at = e
-                kept += body[at:]
-                for col, value in zip(cols, (sum(e - b for b, e in merged), len(merged), bytes(kept), hashlib.sha256(kept).hexdigest()), strict=True):
-                    col.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], ["rid", "removed", "n_spans", "kept", "kept_sha256"])
+                for s in long:
+                    kept += text[at : s["b"]]
+                    at = s["e"]
+                kept += text[at:]
+                for column, value in zip(columns, (sum(s["e"] - s["b"] for s in long), len(long), bytes(kept), hashlib.sha256(kept).hexdigest(), sum(s["e"] - s["b"] for s in short)), strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, types)], ["rid", "removed", "n_spans", "kept", "kept_sha256", "passages"])
 
-    lost = held.select("rid", "body").join(spans, "rid").select("rid", "body", "spans").mapInArrow(cut, "rid long, removed long, n_spans long, kept binary, kept_sha256 string")
-    return rows, lost
+    return rows, found.select("rid", "body", "long", "short").mapInArrow(cut, "rid long, removed long, n_spans long, kept binary, kept_sha256 string, passages long")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All ``documents``, strings of 400 bytes."""
-    rows, lost = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """All ``documents``, strings of 400 bytes; n_passage counts the bytes in repeated strings of 256 bytes."""
+    rows, found = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passage=PASSAGE)
     own = rows.select("rid", "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
-    joined = own.join(lost.drop("kept"), "rid", "left")
-    zero = F.lit(0).cast("long")
-    return joined.select("doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    joined = own.join(found.drop("kept"), "rid", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return joined.select("doc_id", "n_bytes", count("removed").alias("n_removed"), count("n_spans").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("passages").alias("n_passage"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -38,4 +39,29 @@ def test_empty_and_short_length(empty):
     rows, lost = suffix_dedup.repeated_spans(empty, 400)
     assert rows.count() == 0 and lost.count() == 0
     with pytest.raises(ValueError):
-        suffix_dedup.repeated_spans(empty, 100)
+        suffix_dedup.repeated_spans(empty, 60)
+
+
+def test_shorter_passages_are_counted_beside(spark, docs, texts):
+    """Passages of 50 to 80 words count from 256 bytes on; what is removed stays that of 400 bytes."""
+    rng = random.Random(3)
+    passages = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n)) for n in (52, 60, 75)]
+    own = lambda: " ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(40))
+    planted = {1000 + k: f"{own()} {p} {own()}" for k, p in enumerate(passages * 2)}
+    every = texts | planted | {2000 + k: own() for k in range(3)}
+    source = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(4)
+    rows, found = suffix_dedup.repeated_spans(source, 400, passage=256)
+    got = {r["doc_id"]: r for r in rows.join(found, "rid").collect()}
+    long, short = brute(every, 400), brute(every, 256)
+    for i in every:
+        assert (got[i]["removed"] if i in got else 0) == long[i][1], i
+        assert (got[i]["passages"] if i in got else 0) == short[i][1], i
+    assert all(got[i]["passages"] > 0 for i in planted)
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    long = "".join(random.Random(1).choices("abcdefghijklmnop", k=1_200_000))
+    source = spark.createDataFrame([(1, "x" * 500), (1, "x" * 500), (None, long + long[:1000]), (None, None)], "doc_id long, text string")
+    rows, found = suffix_dedup.repeated_spans(source, 400)
+    removed = sorted(r["removed"] for r in found.collect())
+    assert rows.count() == 4 and removed == [500, 500, 2000]

@@ -106,25 +106,33 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that name the set), bands (null without shingles)."""
+    """doc_id, text_hash, n_shingles, set_a and set_b (128 bits that name the set), bands (null without shingles)."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(2))
             for i, j in slices(offsets):
                 at = offsets[i : j + 1]
                 elements, bounds = shingle_sets(data[at[0] : at[-1]], at - at[0], size)
                 a, b = _set_keys(elements, bounds)
                 keys = band_keys(superminhash(elements, bounds))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(np.diff(bounds) == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), keys], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), keys], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """rep, shingles of the wanted classes (rep, set_a, set_b), from the text of their smallest document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "set_a", "set_b", "text")
+    """cid, shingles of the wanted classes (cid, rep, set_a, set_b), from the text of their first document.
+
+    ``rep`` is that document's id and text hash, so that rows which share a null or repeated id do not meet.
+    """
+    keyed = wanted.select("cid", "set_a", "set_b", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    texts = _hashed(docs).join(keyed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("cid", "set_a", "set_b", "text")
 
     def run(batches):
         for batch in batches:
@@ -133,10 +141,10 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 at = offsets[i : j + 1]
                 elements, bounds = shingle_sets(data[at[0] : at[-1]], at - at[0], size)
                 a, b = _set_keys(elements, bounds)
-                same = (a == batch.column(1).to_numpy()[i:j]) & (b == batch.column(2).to_numpy()[i:j])  # a repeated doc_id may hold another text
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(elements, bounds)], ["rep", "shingles"]).filter(pa.array(same))
+                same = (a == batch.column(1).to_numpy()[i:j]) & (b == batch.column(2).to_numpy()[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(elements, bounds)], ["cid", "shingles"]).filter(pa.array(same))
 
-    return texts.mapInArrow(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    return texts.mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -161,15 +169,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    left = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    left = shingles.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return joined.select("a", "b", common.alias("x"), (F.size("sa") + F.size("sb")).alias("n")).where(F.col("x") * 100 >= (F.col("n") - F.col("x")) * percent).select("a", "b")
 
 
 def _block_links(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels in the same bucket: members (bucket, rep, label, n).
+    """Links between different labels in the same bucket: members (bucket, cid, label, n).
 
     Within a bucket the classes outside its most frequent label (the few) meet all of its classes, in pairs of blocks
     of at most about BLOCK: a bucket that is one component but for some costs little more than its own rows.
@@ -177,16 +185,16 @@ def _block_links(members: DataFrame, shingles: DataFrame, percent: int) -> DataF
     sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.first("n").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"), (F.first("n") - F.max("size")).alias("few"), F.first("n").alias("n"))
     n_blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    placed = members.drop("n").join(main.where("few > 0"), "bucket").withColumn("draw", F.xxhash64("rep"))
+    placed = members.drop("n").join(main.where("few > 0"), "bucket").withColumn("draw", F.xxhash64("cid"))
     block = lambda c: F.pmod("draw", n_blocks(c).cast("long")).cast("int")
     others = lambda c: F.explode(F.sequence(F.lit(0), n_blocks(c) - 1))
-    few = placed.where("label != main").select("bucket", "rep", "label", block("few").alias("i"), others("n").alias("j"), F.lit(True).alias("probe"))
-    every = placed.select("bucket", "rep", "label", others("few").alias("i"), block("n").alias("j"), F.lit(False).alias("probe"))
-    rows = few.union(every).join(shingles, "rep")
+    few = placed.where("label != main").select("bucket", "cid", "label", block("few").alias("i"), others("n").alias("j"), F.lit(True).alias("probe"))
+    every = placed.select("bucket", "cid", "label", others("few").alias("i"), block("n").alias("j"), F.lit(False).alias("probe"))
+    rows = few.union(every).join(shingles, "cid")
 
     def run(_, group):
         group = group.combine_chunks()
-        label, probe, rep = (group.column(c).to_numpy() for c in ("label", "probe", "rep"))
+        label, probe, cid = (group.column(c).to_numpy() for c in ("label", "probe", "cid"))
         lists = group.column("shingles").combine_chunks()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         _, term = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -203,7 +211,7 @@ def _block_links(members: DataFrame, shingles: DataFrame, percent: int) -> DataF
             common += x[first] @ x[second].T
         union = sizes[first][:, None] + sizes[second][None, :] - common
         i, j = np.nonzero((100 * common >= percent * union) & (label[first][:, None] != label[second][None, :]))
-        one, other = rep[first[i]], rep[second[j]]
+        one, other = cid[first[i]], cid[second[j]]
         _, once = np.unique(np.stack([one, label[second[j]]]), axis=1, return_index=True)  # one link into each label is enough
         return pa.table([pa.array(one[once]), pa.array(other[once])], ["a", "b"])
 
@@ -215,16 +223,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable. Null, empty and blank texts have no shingles, link with nothing and keep their doc_id. A
-    null doc_id gets a null component unless its text has copies. Other columns are ignored; empty in, empty out.
+    repeated doc_id counts once for each of its texts. A null doc_id links like any other and is no component's id
+    unless all of its documents have none: then that is null. Other columns are ignored; empty in, empty out.
     """
     sig = materialize(signatures(docs, size), "signatures")
-    classes = materialize(sig.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1"), "buckets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    found = sig.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(first.alias("rep"), F.first("bands").alias("bands"))
+    classes = materialize(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("cid", F.explode("bands").alias("bucket"))
+    buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("center")).where("n > 1"), "buckets")
     crowded = materialize(banded.join(buckets.select("bucket", "center"), "bucket"), "banded")
-    star = materialize(crowded.where("rep != center").groupBy(F.col("center").alias("a"), F.col("rep").alias("b")).count(), "stars")
-    wanted = star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct()
-    shingles = materialize(_shingles_of(docs, classes.select("rep", "set_a", "set_b").join(wanted, "rep"), size), "shingles")
+    star = materialize(crowded.where("cid != center").groupBy(F.col("center").alias("a"), F.col("cid").alias("b")).count(), "stars")
+    wanted = star.select(F.col("a").alias("cid")).union(star.select(F.col("b").alias("cid"))).distinct()
+    shingles = materialize(_shingles_of(docs, classes.select("cid", "rep", "set_a", "set_b").join(wanted, "cid"), size), "shingles")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     links = materialize(_confirmed(best, shingles, percent), "links")
     labels = connected_components(links)
@@ -232,13 +243,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     apart = star.select("a", "b").join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     links = materialize(links.union(_confirmed(apart, shingles, percent)), "links")
     labels = connected_components(links)
-    label_of = labels.select(F.col("id").alias("rep"), "label")
-    each = classes.join(label_of, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.explode("bands").alias("bucket"))
-    held = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(30,0)")).alias("members")).where("n > 2 and lo != hi")
+    label_of = labels.select(F.col("id").alias("cid"), "label")
+    each = classes.join(label_of, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.explode("bands").alias("bucket"))
+    held = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("cid").cast("decimal(30,0)")).alias("members")).where("n > 2 and lo != hi")
     once = held.groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # equal buckets of several bands count once
     links = materialize(links.union(_block_links(each.join(once, "bucket"), shingles, percent)), "links")
-    labels = connected_components(links)
-    named = classes.select("set_a", "set_b", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component"))
+    labels = connected_components(links).select(F.col("id").alias("cid"), "label")
+    placed = classes.select("cid", "set_a", "set_b", F.col("rep.doc_id").alias("least")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = placed.groupBy("label").agg(F.min("least").alias("component"))
+    named = placed.join(least, "label").select("set_a", "set_b", "component")
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

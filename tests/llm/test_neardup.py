@@ -69,3 +69,11 @@ def test_empty_and_repeated_rows(spark, empty):
     df = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (2, "A b  c d e f"), (None, ""), (9, None)], "doc_id long, text string")
     rows = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
     assert rows == [("2", 2, True), ("4", 2, False), ("4", 2, False), ("9", 9, True), ("None", None, True)]
+
+
+def test_repeated_and_null_ids_keep_their_links(spark):
+    x, y = (" ".join(f"{w}{k}" for k in range(80)) for w in "xy")
+    rows = [(1, x), (1, y), (5, x + " z"), (6, y + " z"), (None, x + " q"), (None, "other " * 3), (None, "OTHER " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (5, 1), (6, 1), (None, 1), (None, None), (None, None)], key=str)

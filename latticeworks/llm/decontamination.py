@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .textbytes import NON_ALNUM, combine, flat, slices, words
 
-#: Benchmark words that are looked up at a time; a larger benchmark is taken in several batches of items.
+#: Benchmark words whose phrases are looked up at a time; a larger benchmark is taken in several batches of items.
 BATCH_WORDS = 200_000
+#: Distinct benchmark words that one index holds (8 bytes each go to every task); more take further indexes.
+INDEX_TERMS = 4_000_000
 #: Bytes of text in a block of the index (a longer document is a block of its own).
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 INDEX = "block long, term long, docs array<int>, positions array<int>, doc_ids array<long>"
 _DOCS = -(2**63)  # the row of a block that lists its documents: word counts stand in positions
 
@@ -59,7 +61,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """Postings of every vocabulary term in ``docs`` (doc_id, text): block, term, docs (ordinals), positions.
 
-    ``vocabulary`` holds 64-bit word hashes and is sent to the tasks; callers bound it (BATCH_WORDS). Each block also
+    ``vocabulary`` holds 64-bit word hashes and is sent to the tasks; callers bound it (INDEX_TERMS). Each block also
     has one row that lists its documents with their word counts. Whole texts are read; null text has no words.
     """
     spark = docs.sparkSession
@@ -72,8 +74,7 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = np.where(np.isnan(ids), -1, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
+            ids = batch.column(0)
             for i, j in slices(offsets, BLOCK_BYTES):
                 at = offsets[i : j + 1]
                 row, _, _, h = words(data[at[0] : at[-1]], at - at[0], NON_ALNUM)
@@ -92,7 +93,7 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                         pa.array(np.append(terms.sorted[term[order][runs]].view(np.int64), _DOCS)),
                         lists(doc, np.arange(j - i)),
                         lists(order - first[doc], np.diff(first)),
-                        pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1, np.int32), j - i).astype(np.int32)), pa.array(ids[i:j])),
+                        pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1, np.int32), j - i).astype(np.int32)), ids.slice(i, j - i)),
                     ],
                     ["block", "term", "docs", "positions", "doc_ids"],
                 )
@@ -213,23 +214,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
 
     A word is hit if it lies inside an occurrence of ``width`` consecutive words of an item, or of a whole shorter item.
     Null and empty texts have no words and no hits; an item without words matches nothing; repeated documents each get
-    their row (a null doc_id comes back null); an empty benchmark leaves every document clean. Other columns are ignored.
+    their row, with its doc_id as it is, null too; an empty benchmark leaves every document clean. Other columns are ignored.
     """
-    spark = docs.sparkSession
     items = materialize(item_words(benchmark), "items")
     total = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     n_batches = max(1, -(-int(total) // BATCH_WORDS))
+    terms = items.select(F.explode("words").alias("term")).distinct()
+    n_indexes = min(n_batches, max(1, -(-terms.count() // INDEX_TERMS)))
+    of = F.pmod(F.xxhash64("item"), F.lit(n_batches))
+    if n_indexes > 1:  # the scans of several indexes must agree on blocks
+        docs = materialize(docs.select("doc_id", "text"), "documents", "zstd")
     whole, hits = None, None
-    for b in range(n_batches):
-        part = [(r["item"], r["words"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n_batches)) == b).toLocalIterator()]  # about BATCH_WORDS words
-        vocabulary = np.array(sorted({h for _, ws in part for h in ws}), np.int64)
+    for g in range(n_indexes):
+        mine = items.where(F.pmod(of, F.lit(n_indexes)) == g)
+        vocabulary = np.array([r["term"] for r in mine.select(F.explode("words").alias("term")).distinct().toLocalIterator()], np.int64)  # about INDEX_TERMS at most
         index = materialize(positional_index(docs, vocabulary.view(np.uint64)), "postings")
         if whole is None:
             listed = index.where(F.col("term") == _DOCS)
-            whole = listed.select("block", F.explode(F.arrays_zip("docs", "positions", "doc_ids")).alias("d")).select("block", F.col("d.docs").alias("doc"), F.col("d.positions").cast("long").alias("n_words"), F.when(F.col("d.doc_ids") != -1, F.col("d.doc_ids")).alias("doc_id"))
+            whole = listed.select("block", F.explode(F.arrays_zip("docs", "positions", "doc_ids")).alias("d")).select("block", F.col("d.docs").alias("doc"), F.col("d.positions").cast("long").alias("n_words"), F.col("d.doc_ids").alias("doc_id"))
         frequency = {r["term"]: r["n"] for r in index.where(F.col("term") != _DOCS).groupBy("term").agg(F.sum(F.size("docs")).alias("n")).toLocalIterator()}  # one row per benchmark term
-        found = match_blocks(index, phrase_table(part, width, frequency), slop)
-        hits = found if hits is None else hits.unionByName(found)
+        for b in range(g, n_batches, n_indexes):
+            part = [(r["item"], r["words"]) for r in mine.where(of == b).toLocalIterator()]  # about BATCH_WORDS words
+            found = match_blocks(index, phrase_table(part, width, frequency), slop)
+            hits = found if hits is None else hits.unionByName(found)
     spans = F.sort_array(F.collect_list(F.struct("begin", "end")))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["reach"], s["begin"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")))["n"]
     per_doc = hits.groupBy("block", "doc").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items")).select("block", "doc", covered.cast("long").alias("n_hit"), "items")

@@ -71,3 +71,30 @@ def test_lists_hold_what_they_were_given():
         probe[: len(held) // 2] = held[: len(held) // 2]
         known = set(map(tuple, held.tolist()))
         assert lists.holds(*probe.T).tolist() == [tuple(x) in known for x in probe.tolist()]
+
+
+def test_ids_come_back_as_they_are(spark):
+    """Null, negative and large ids in one batch, repeated rows, and several indexes."""
+    phrase = " ".join(f"p{k}" for k in range(12))
+    rows = [(None, phrase), (2**60 + 1, "x " + phrase), (-1, phrase), (5, "clean words"), (5, "clean words"), (-1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_hit"]) for r in decontamination.contamination(df, bench).collect()), key=str)
+    assert got == sorted([(None, 12), (2**60 + 1, 12), (-1, 12), (5, 0), (5, 0), (-1, 0)], key=str)
+
+
+def test_several_indexes(spark, docs, texts, monkeypatch):
+    items = [(k, " ".join((texts[5 + k] or "").split()[:12])) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BATCH_WORDS", 30)
+    monkeypatch.setattr(decontamination, "INDEX_TERMS", 40)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == brute(texts, items)
+
+
+def test_many_terms_in_one_document(spark):
+    words = [f"t{k}" for k in range(70_000)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(words[100 * k : 100 * k + 100])) for k in range(700)], "item_id long, text string")
+    row = decontamination.contamination(df, bench).first()
+    assert row["n_hit"] == 70_000 and len(row["items"]) == 700

@@ -58,3 +58,27 @@ def test_bounds_hold():
     _, code, length, fit, along = ann.encode(x, c, turn)
     value, error = ann.estimate(q, code, length, fit, along, c[0], turn)
     assert (np.abs(value - q @ x.T) <= error).mean() > 0.97
+
+
+def test_commonest_dimension_counts(spark):
+    """One odd vector that comes first takes no part and hides nothing."""
+    rng = np.random.default_rng(5)
+    vectors = [(0, [1.0, 2.0, 3.0]), (1, [float("inf"), 1.0])] + [(i, rng.normal(size=2).tolist()) for i in range(2, 200)]
+    got = ann.nearest(table(spark, vectors).coalesce(1), every=10).collect()
+    want = brute(vectors[2:], 10, 5)
+    assert {r["query_id"] for r in got} == set(want) and len(got) == 5 * len(want)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 3)) for r in ann.nearest(table(spark, rows), k=1).collect())
+    assert got == [(1, 1, 0.994), (1, 2, 0.994)]
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(8)
+    for spread, most in ((0.05, 4), (10.0, 40)):
+        x = ann.unit(np.repeat(rng.normal(size=(200, 16)), 20, axis=0) + spread * rng.normal(size=(4000, 16)))
+        centroids = ann.fit_centroids(x, ann.list_count(len(x)), 7)
+        assert 1 <= ann.probes_for(x, centroids, 5) <= most and len(centroids) == 32
+    assert ann.list_count(4_000_000) == 1000

@@ -60,14 +60,21 @@ def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     lo, hi = np.searchsorted(bounds, begins, "right") - 1, np.searchsorted(bounds, ends, "left") - 1
     first = np.bincount(lo, minlength=n).astype(np.int64)
     major, split, crossing = first.copy(), first.astype(np.float64), np.zeros(n, np.int64)
-    for t in np.flatnonzero(hi > lo):
-        parts = np.arange(lo[t], hi[t] + 1)
-        held = np.minimum(bounds[parts + 1], ends[t]) - np.maximum(bounds[parts], begins[t])
-        crossing[parts] += 1
-        major[lo[t]] -= 1
-        major[parts[int(np.argmax(held))]] += 1
-        split[lo[t]] -= 1
-        split[parts] += held / held.sum()
+    over = np.flatnonzero(hi > lo)
+    if len(over):
+        n_parts = hi[over] - lo[over] + 1
+        start = np.cumsum(n_parts) - n_parts
+        token = np.repeat(over, n_parts)
+        parts = np.arange(len(token)) - np.repeat(start - lo[over], n_parts)
+        held = np.minimum(bounds[parts + 1], ends[token]) - np.maximum(bounds[parts], begins[token])
+        np.add.at(crossing, parts, 1)
+        most = np.repeat(np.maximum.reduceat(held, start), n_parts)
+        best = np.flatnonzero(held == most)
+        best = best[np.unique(token[best], return_index=True)[1]]  # the earlier one in a tie
+        np.add.at(major, lo[over], -1)
+        np.add.at(major, parts[best], 1)
+        np.add.at(split, lo[over], -1.0)
+        np.add.at(split, parts, held / np.repeat(np.add.reduceat(held, start), n_parts))
     return first, major, split, crossing
 
 
@@ -77,7 +84,8 @@ def section_token_counts(docs: DataFrame, vocabulary_path: str, bounds_of=line_b
 
     ``bounds_of`` gives the byte bounds of a text's sections; they start at 0, ascend and end at its length. The counts
     of each rule add up to the document's tokens. Null and empty texts have no sections and give no row; repeated rows
-    each give theirs; other columns are ignored.
+    each give theirs, and a null doc_id comes back null; a text is encoded whole whatever its length; other columns are
+    ignored.
     """
 
     def run(batches):

@@ -5,17 +5,15 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from latticeworks.llm import packing, token_counts
+from latticeworks.llm import packing, textbytes, token_counts
 from latticeworks.llm.word_tokens import WordTokens
 
-ODD = ["It's they're we'll 'tis ''s don't!'s x'", "a1b22 ½ 3.5", "ÀÉ ß straße Å", "日本語 text", "<|endoftext|> <|startoftext|>", "tab\tnew\nline nbsp", "İstanbul İ", "é combining", "!!!???...", "'", "l'll'd"]
+ODD = ["It's they're we'll 'tis ''s don't!'s x'", "a1b22 ½ 3.5", "ÀÉ ß straße Å", "日本語 text", "<|endoftext|> <|startoftext|>", "a<|endoftext|>b <| x", "<|ENDOFTEXT|>", "tab\tnew\nline nbsp", "İstanbul İ", "é combining", "!!!???...", "'", "l'll'd"]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.vocabulary())
 
 
 def test_word_tokens_equal_the_tokenizer(tokenizer, texts):
@@ -78,3 +76,73 @@ def test_attribution_rules():
 
 def test_section_counts_empty(empty):
     assert token_counts.section_token_counts(empty, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words_do_not_collide(tokenizer):
+    words = [thue_morse(4096, "ab"), thue_morse(4096, "ba")]
+    raw = [w.encode() for w in words]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    for w, ids in zip(words, WordTokens(packing.vocabulary()).encode(data, offsets), strict=True):
+        assert ids.tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+    h = textbytes.span_hash(data, offsets[:-1], offsets[1:])
+    assert h[0] != h[1]
+
+
+def test_null_ids_and_repeated_rows(spark, tokenizer):
+    rows = [(None, "one two"), (3, "one two"), (3, "one two"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = packing.pack_documents(df).collect()
+    n = len(tokenizer.encode("one two", add_special_tokens=False).ids) + 1
+    assert sorted(((r["doc_id"], r["length"]) for r in packed), key=str) == sorted([(None, n), (3, n), (3, n), (4, 1)], key=str)
+    counts = token_counts.section_token_counts(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in counts), key=str) == sorted([(None, 2), (3, 2), (3, 2)], key=str)
+
+
+def plain_attribution(lengths, bounds):
+    """Each rule, token by token and byte by byte."""
+    n = len(bounds) - 1
+    owner = [next(s for s in range(n) if bounds[s] <= b < bounds[s + 1]) for b in range(bounds[-1])]
+    first, major, split, crossing = [0] * n, [0] * n, [0.0] * n, [0] * n
+    at = 0
+    for size in lengths:
+        own = owner[at : at + size]
+        at += size
+        held = {s: own.count(s) for s in own}
+        first[own[0]] += 1
+        major[max(held, key=lambda s: (held[s], -s))] += 1
+        for s, k in held.items():
+            split[s] += k / size
+            crossing[s] += len(held) > 1
+    return first, major, split, crossing
+
+
+def test_attribution_equals_plain_counts():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = rng.integers(1, 9, rng.integers(1, 30))
+        total = int(lengths.sum())
+        cuts = np.unique(np.concatenate([[0, total], rng.integers(0, total + 1, rng.integers(0, 12))]))
+        got = token_counts.attribute(np.cumsum(lengths), cuts)
+        for a, b in zip(got, plain_attribution(lengths.tolist(), cuts.tolist()), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_section_counts_equal_plain_counts(docs, texts):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding = token_counts.ByteTokens(path).encoding
+    rows = token_counts.section_token_counts(docs, path).collect()
+    for i, t in texts.items():
+        if not t:
+            continue
+        raw = t.encode()
+        lengths = [len(encoding.decode_single_token_bytes(x)) for x in encoding.encode_ordinary(t)]
+        bounds = [0, *[k + 1 for k, c in enumerate(raw) if c == 10 and k + 1 < len(raw)], len(raw)]
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["section"])
+        first, major, split, crossing = plain_attribution(lengths, bounds) if len(raw) < 30_000 else (None,) * 4
+        if first is not None:
+            assert [r["n_tokens"] for r in own] == first and [r["n_majority"] for r in own] == major and [r["n_crossing"] for r in own] == crossing
+            assert np.allclose([r["n_split"] for r in own], split)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import flat, slices
+
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ⅼ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅰ": "i"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -25,8 +27,8 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collec
 
 #: Labelled rows used at most (expected number; rows are chosen by a hash of doc_id).
 TRAINING_ROWS = 20_000
-#: Entries of the learned lexicon at most, and candidates counted for it.
-ENTRIES, CANDIDATES = 3000, 30_000
+#: Bytes of text that a task folds at a time (a longer text stands alone).
+SLICE = 500_000
 _PREFIXES = (4, 5, 6, 7)
 _SAME = {**HOMOGLYPHS, **{chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}, **dict.fromkeys("\u200b\u200c\u200d\u00ad", "")}
 
@@ -135,7 +137,7 @@ def _count(rows: DataFrame, candidates: set[str] | None) -> DataFrame:
 
     def run(batches):
         held = shared.value
-        for batch in batches:
+        for batch in _sliced(batches, 0):
             seen: dict[tuple[str, int], list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = _entries(fold(text or ""))
@@ -174,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexi
     """A lexicon from labelled documents (doc_id, text) and labels (doc_id, toxic); no other column is an input.
 
     Rows whose crc32(doc_id as text) is divisible by 5 are held out. About ``rows`` labelled rows are used, chosen by a
-    hash of doc_id: the bound on what is broadcast and collected. Null labels are left out; several labels of one
+    hash of doc_id: the bound on what is broadcast and collected, as a candidate entry stands in two of them at least.
+    Null labels are left out; several labels of one
     document count as toxic if one is. With too few labels the insults and a fixed model remain.
     """
     fixed = Lexicon({f" {w} ": 3.0 for w in INSULTS})
@@ -184,12 +187,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexi
     chosen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     part = _train_part(texts, "lexicon")
-    common = _count(part.where("toxic = 1"), None).where("docs >= 2 or entry = ''").orderBy(F.desc("docs"), "entry").limit(CANDIDATES).collect()
+    common = _count(part.where("toxic = 1"), None).where("docs >= 2 or entry = ''").collect()
     in_toxic = {r["entry"]: (r["docs"], r["uses"]) for r in common}
     n_toxic, words_toxic = in_toxic.pop("", (0, 0))
     if n_toxic < 5:
         return fixed
-    clean = {r["entry"]: (r["docs"], r["uses"]) for r in _count(part.where("toxic = 0"), set(in_toxic)).collect()}  # CANDIDATES rows at most
+    clean = {r["entry"]: (r["docs"], r["uses"]) for r in _count(part.where("toxic = 0"), set(in_toxic)).collect()}  # the same entries at most
     n_clean, words_clean = clean.pop("", (0, 0))
     if n_clean < 5:
         return fixed
@@ -200,9 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexi
         odds = np.log((docs_t + 0.5) / (n_toxic - docs_t + 0.5)) - np.log((docs_c + 0.5) / (n_clean - docs_c + 0.5))
         error = np.sqrt(1 / (docs_t + 0.5) + 1 / (docs_c + 0.5))
         if weight > 1.0 and odds / error > 2.6:
-            found.append((odds / error, entry, float(min(weight, 8.0))))
-    found.sort(reverse=True)
-    weights = {entry: weight for _, entry, weight in found[:ENTRIES]}
+            found.append((entry, float(min(weight, 8.0))))
+    weights = {entry: weight for entry, weight in sorted(found)}
     for entry in fixed.weights:
         uses = clean.get(entry, (0, 0))[0]
         if entry not in weights and uses == 0:
@@ -215,14 +217,32 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexi
     return lexicon
 
 
+_MACHINES: dict = {}
+
+
+def _machine(shared):
+    """This Python worker's automaton for a broadcast lexicon; one at a time is kept."""
+    lexicon = shared.value
+    if _MACHINES.get("of") is not lexicon:
+        _MACHINES.update({"of": lexicon, "machine": lexicon.automaton()})
+    return _MACHINES["machine"]
+
+
+def _sliced(batches, text: int):
+    """The batches in slices of at most about SLICE bytes of their text column."""
+    for batch in batches:
+        for i, j in slices(flat(batch.column(text))[1], SLICE):
+            yield batch.slice(i, j - i)
+
+
 def _features(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and f, the features of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        machine = shared.value.automaton()
-        for batch in batches:
+        machine = _machine(shared)
+        for batch in _sliced(batches, len(keep)):
             found = [features(machine, fold(t or "")) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], [*keep, "f"])
 
@@ -244,10 +264,21 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, columns as they are; repeated rows and null texts stay."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    scored = _features(rows, lexicon, ["row"])
-    return scored.where(_score(lexicon) < threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs`` whose score is below ``threshold``, columns as they are; repeated rows and null texts stay.
+
+    Only the texts cross to Python, and only a bounded slice of them is there as strings at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        machine, b, out = _machine(shared), np.array(shared.value.model), []
+        for i, j in slices(flat(texts)[1], SLICE):
+            found = np.array([features(machine, fold(t or "")) for t in texts.slice(i, j - i).to_pylist()])
+            out.append(1 / (1 + np.exp(-(b[0] + found @ b[1:]))))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return docs.where(score("text") < threshold)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

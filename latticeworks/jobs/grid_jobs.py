@@ -79,7 +79,7 @@ def patch_merge(spark, sf_dir):
     v = c.select("z", "y", "x").distinct()
     p = grid.assign_patches(v, _shape(c), 16, 8).withColumn("prob", F.expr(_PROB).cast("double"))
     certain = p.withColumn("certain", F.round(F.abs(F.col("prob") - 0.5), 9))
-    return grid.keep_best(certain, ["z", "y", "x"], F.desc("certain"), F.asc("patch")).select("z", "y", "x", "patch", "prob")
+    return grid.keep_best(certain, ["z", "y", "x"], F.col("certain"), "patch").select("z", "y", "x", "patch", "prob")
 
 
 @query(

@@ -106,14 +106,15 @@ def orientation_hint(spark, sf_dir):
     return c.withColumn("h", hint).where("h is not null").select("chain", "residue_num", rounded(F.col("h.x")).alias("hx"), rounded(F.col("h.y")).alias("hy"))
 
 
-_G = "CASE WHEN atom IN ('P', 'OP1', 'OP2') THEN 1 WHEN atom IN ('O5''', 'C5''', 'C4''', 'O4''', 'C3''', 'O3''', 'C2''', 'O2''', 'C1''') THEN 2 ELSE CASE WHEN base IN ('A', 'G') THEN 3 ELSE 4 END END"
+_G = "CASE WHEN atom IN ('P', 'OP1', 'OP2') THEN [1] WHEN atom IN ('O5''', 'C5''', 'C4''', 'O4''', 'C3''', 'O3''', 'C2''', 'O2''', 'C1''') THEN [2] WHEN id % 3 = 2 THEN [3, 4] WHEN base IN ('A', 'G') THEN [3] ELSE [4] END"
 
 
-@query(f"WITH {CHAINS}, t(base, atom_ord, atom, tx, ty, tz) AS (VALUES {_ATOMS}) SELECT chain, {_G} AS class, count(*) AS n FROM chains JOIN t USING (base) GROUP BY 1, 2")
+@query(f"WITH {CHAINS}, t(base, atom_ord, atom, tx, ty, tz) AS (VALUES {_ATOMS}), c AS (SELECT chain, CAST(unnest({_G}) AS INT) AS class FROM chains JOIN t USING (base)) SELECT chain, class, count(*) AS n FROM c GROUP BY 1, 2")
 def atom_classes(spark, sf_dir):
-    """The label class of each atom in the typed layout."""
+    """The label class of each atom in the typed layout; every third residue has a name of no base."""
     c = chains(spark, sf_dir).join(F.broadcast(placement.templates(spark)), "base")
-    names = restraints.group_classes(F.col("atom"), F.concat(F.lit("R"), F.col("base"), F.lit("5")), F.lit(True))
+    name = F.when(F.col("id") % 3 == 0, F.concat("base", F.lit("5"))).when(F.col("id") % 3 == 1, F.concat(F.lit("R"), "base")).otherwise(F.concat(F.lit("D"), "base", F.lit("5")))
+    names = restraints.group_classes(F.col("atom"), name, F.lit(True))
     return c.select("chain", F.explode(names).alias("class")).groupBy("chain", "class").agg(F.count("*").alias("n"))
 
 

@@ -168,15 +168,15 @@ def stacks_satisfied(spark, sf_dir):
     return pairs.stacks_satisfied(pairs.stacks(n, ["chain"]), pairs.pair_distances(n, _sites(spark, sf_dir), ["chain"]), ["chain"])
 
 
-_ORI = "b AS (SELECT DISTINCT i, j FROM normal), w AS (SELECT 'forward' AS orientation, residue_num AS r, x, y, z FROM sites WHERE chain = 1 AND residue_num <= 50 UNION ALL SELECT 'reverse', 51 - residue_num, x, y, z FROM sites WHERE chain = 1 AND residue_num <= 50)"
+_ORI = "b AS (SELECT DISTINCT chain, i, j FROM normal), m AS (SELECT chain, max(residue_num) AS m FROM sites GROUP BY 1), w AS (SELECT chain, 'forward' AS orientation, residue_num AS r, x, y, z FROM sites UNION ALL SELECT chain, 'reverse', m + 1 - residue_num, x, y, z FROM sites JOIN m USING (chain))"
 
 
-@query(f"WITH {_SITES}, {_NORMAL}, {_ORI}, d AS (SELECT p.orientation, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d FROM b JOIN w p ON p.r = b.i JOIN w q ON q.r = b.j AND q.orientation = p.orientation) SELECT orientation, count(*) AS total, count(*) FILTER (d BETWEEN 15 AND 22) AS satisfied FROM d GROUP BY 1")
+@query(f"WITH {_SITES}, {_NORMAL}, {_ORI}, d AS (SELECT b.chain, p.orientation, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d FROM b JOIN w p ON p.chain = b.chain AND p.r = b.i JOIN w q ON q.chain = b.chain AND q.r = b.j AND q.orientation = p.orientation) SELECT chain, orientation, count(*) AS total, count(*) FILTER (d BETWEEN 15 AND 22) AS satisfied FROM d GROUP BY 1, 2")
 def path_orientation(spark, sf_dir):
-    """Pairs satisfied by a path read forward and backward."""
-    s = chains(spark, sf_dir).where("chain = 1 and residue_num <= 50").select("residue_num", F.col("id").alias("site"), *[(F.col(a) * 2.0).alias(a) for a in "xyz"])
-    out = pairs.orientation_score(s.select("residue_num", "site"), _normal(spark, sf_dir).select("i", "j").distinct(), s.select("site", "x", "y", "z"), 50)
-    return out.select("orientation", "total", "satisfied")
+    """Pairs satisfied by the path of each chain read forward and backward."""
+    s = chains(spark, sf_dir).select("chain", "residue_num", F.col("id").alias("site"), *[(F.col(a) * 2.0).alias(a) for a in "xyz"])
+    out = pairs.orientation_score(s.select("chain", "residue_num", "site"), _normal(spark, sf_dir).select("chain", "i", "j").distinct(), s.select("chain", "site", "x", "y", "z"), ["chain"])
+    return out.select("chain", "orientation", "total", "satisfied")
 
 
 @query(

@@ -75,19 +75,24 @@ def assign_patches(voxels: DataFrame, shape: DataFrame, size: int, overlap: int)
     return out.withColumn("patch", order.cast("long")).drop("nz", "ny", "nx")
 
 
-def keep_best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row per key, the first in ``order``; give a total order, as the first of equal rows is not defined."""
-    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
+def keep_best(rows: DataFrame, keys: list[str], score: Column, tie: str) -> DataFrame:
+    """One row per key, the one with the largest ``score``, then the smallest ``tie`` (a number).
+
+    An aggregate, so that rows of one key meet before the shuffle; a null score loses to any other.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(score.isNotNull(), score, -F.col(tie))).alias("_row"))
+    return best.select(*keys, "_row.*")
 
 
 def merge_by_certainty(predictions: DataFrame, prob: str = "prob") -> DataFrame:
     """Of overlapping patches each voxel keeps the probability farthest from 0.5; the first patch wins ties."""
-    return keep_best(predictions, ["z", "y", "x"], F.desc(F.abs(F.col(prob) - 0.5)), F.asc("patch"))
+    return keep_best(predictions, ["z", "y", "x"], F.abs(F.col(prob) - 0.5), "patch")
 
 
 def merge_by_confidence(predictions: DataFrame, probs: str = "probs") -> DataFrame:
     """Of overlapping patches each voxel keeps the class vector with the largest maximum; the first patch wins ties."""
-    return keep_best(predictions, ["z", "y", "x"], F.desc(F.array_max(probs)), F.asc("patch"))
+    return keep_best(predictions, ["z", "y", "x"], F.array_max(probs), "patch")
 
 
 def combine_labels(prob: Column, group: Column, threshold: Column | float) -> Column:

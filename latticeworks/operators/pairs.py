@@ -83,13 +83,17 @@ def partners(pairs: DataFrame, keys: list[str], order: str, canonical_only: bool
     return one.union(two).groupBy(*keys, "residue_num").agg(F.max_by("partner", "o").alias("partner"))
 
 
-def orientation_score(assigned: DataFrame, base_pairs: DataFrame, sites: DataFrame, length: int) -> DataFrame:
-    """satisfied pairs of a path read forward and backward: orientation, satisfied."""
-    forward = assigned.select(F.lit("forward").alias("orientation"), "residue_num", "site")
-    backward = assigned.select(F.lit("reverse").alias("orientation"), (F.lit(length + 1) - F.col("residue_num")).alias("residue_num"), "site")
-    placed = forward.union(backward).join(sites, "site").select("orientation", "residue_num", "x", "y", "z")
-    both = base_pairs.join(F.broadcast(placed.select("orientation").distinct()))
-    return satisfaction(both, placed, ["orientation"])
+def orientation_score(assigned: DataFrame, base_pairs: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the satisfied pairs of its path read forward and backward: orientation, total, satisfied, ratio.
+
+    The path of a key ends at its largest residue_num. Keys without pairs have no row.
+    """
+    length = assigned.groupBy(*keys).agg(F.max("residue_num").alias("length"))
+    forward = assigned.select(*keys, F.lit("forward").alias("orientation"), "residue_num", "site")
+    backward = assigned.join(length, keys).select(*keys, F.lit("reverse").alias("orientation"), (F.col("length") + 1 - F.col("residue_num")).alias("residue_num"), "site")
+    placed = forward.union(backward).join(sites, [*keys, "site"]).select(*keys, "orientation", "residue_num", "x", "y", "z")
+    both = base_pairs.withColumn("orientation", F.explode(F.array(F.lit("forward"), F.lit("reverse"))))
+    return satisfaction(both, placed, [*keys, "orientation"])
 
 
 def group_agreement(pairs: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:

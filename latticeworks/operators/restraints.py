@@ -18,8 +18,8 @@ PURINES, PYRIMIDINES = ("A", "G"), ("C", "U")
 
 
 def canonical_base(name: Column) -> Column:
-    """A, C, G or U of a residue name, without a terminal 3 or 5; null for others."""
-    plain = F.regexp_replace(F.upper(F.trim(name)), "[35]$", "")
+    """A, C, G or U of a residue name; a terminal 3 or 5 counts behind a single base letter only. Null for others."""
+    plain = F.regexp_replace(F.upper(name), "^([ACGU])[35]$", "$1")
     out = F.lit(None).cast("string")
     for base, names in RESIDUE_NAMES.items():
         out = F.when(plain.isin(*names), base).otherwise(out)

@@ -178,7 +178,8 @@ def test_layout_and_classes(spark):
     assert one(spark, restraints.layout(null.cast("string"), null.cast("array<string>"), null.cast("int"), F.lit(3))) == "four"
     assert one(spark, restraints.group_classes(F.lit("N9"), F.lit("XYZ"), F.lit(True))) == [3, 4]
     assert one(spark, restraints.group_classes(F.lit("H1"), F.lit("A"), F.lit(True))) is None
-    assert one(spark, restraints.canonical_base(F.lit(" ade5 "))) == "A"
+    for name, base in {"ade": "A", "a5": "A", "U3": "U", "RG": "G", "DA5": None, "ADE3": None, "T5": None, " A": None}.items():
+        assert one(spark, restraints.canonical_base(F.lit(name))) == base, name
     assert one(spark, selection.try_candidate(F.lit(24), F.lit(0.9), null.cast("double"))) is False
 
 

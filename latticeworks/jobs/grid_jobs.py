@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_argmax, rounded
@@ -42,10 +43,10 @@ def voxel_coordinates(spark, sf_dir):
 
 
 def _shape(c):
-    return c.agg(F.lit(30).alias("nz"), (F.max("y") + 1).alias("ny"), F.lit(24).alias("nx"))
+    return c.agg((F.max("z") + 1).alias("nz"), (F.max("y") + 1).alias("ny"), F.lit(24).alias("nx"))
 
 
-_SHAPE = "shape AS (SELECT 30 AS nz, max(y) + 1 AS ny, 24 AS nx FROM cells)"
+_SHAPE = "shape AS (SELECT max(z) + 1 AS nz, max(y) + 1 AS ny, 24 AS nx FROM cells)"
 _STARTS = "unnest(range(CASE WHEN {n} <= 16 THEN 1 ELSE CAST(ceil(({n} - 16) / 8.0) AS INT) + 1 END)) * 8"
 _TILES = (
     f"iz AS (SELECT nz, {_STARTS.format(n='nz')} AS ib FROM shape), iy AS (SELECT ny, {_STARTS.format(n='ny')} AS jb FROM shape), ix AS (SELECT nx, {_STARTS.format(n='nx')} AS kb FROM shape), "
@@ -126,19 +127,23 @@ def ranked_maxima(spark, sf_dir):
     return ranked_peaks(local_maxima(spark, sf_dir), ["kind"], 50)
 
 
-_ID = "(CAST(z AS BIGINT) * 100000 + y) * 32 + x"
+_ID = "(CAST(z AS BIGINT) * ny + y) * 32 + x"
 
 
 @query(
-    f"WITH RECURSIVE {CELLS}, v AS (SELECT kind, z, y, x, {_ID} AS id FROM cells WHERE density > {CONTOUR}), "
+    f"WITH RECURSIVE {CELLS}, v AS (SELECT kind, z, y, x, {_ID} AS id FROM cells, (SELECT max(y) + 1 AS ny FROM cells) WHERE density > {CONTOUR}), "
     "e AS (SELECT a.kind, a.id AS a, b.id AS b FROM v a JOIN v b ON a.kind = b.kind AND b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) BETWEEN 1 AND 2), "
     "r AS (SELECT kind, id, id AS hop FROM v UNION SELECT r.kind, r.id, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.hop), c AS (SELECT kind, id, min(hop) AS component FROM r GROUP BY 1, 2) "
     "SELECT kind, component, count(*) AS volume FROM c GROUP BY 1, 2"
 )
 def grid_components(spark, sf_dir):
-    """18-connected components of each class above the contour, with their volumes."""
-    v = cells(spark, sf_dir).where(F.col("density") > CONTOUR).withColumn("place", F.expr(_ID))
-    codes = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
-    v = v.withColumn("id", F.array_position(codes, F.col("kind")) * 10_000_000_000_000 + F.col("place"))
+    """18-connected components of each class above the contour, with their volumes.
+
+    Ids count the cells of the measured extents, class by class; the classes are those that the table has.
+    """
+    c = cells(spark, sf_dir)
+    extent = c.agg((F.max("y") + 1).alias("ny"), ((F.max("z") + 1).cast("long") * (F.max("y") + 1) * 32).alias("size"))
+    codes = c.select("kind").distinct().withColumn("code", F.row_number().over(Window.orderBy("kind")).cast("long"))
+    v = c.where(F.col("density") > CONTOUR).join(F.broadcast(extent)).join(codes, "kind").withColumn("id", F.col("code") * F.col("size") + F.expr(_ID)).drop("code", "ny")
     labels = graph.connected_components(v, grid.grid_edges(v, 18, keys=("kind",)))
-    return v.join(labels, "id").groupBy("kind", (F.col("component") % 10_000_000_000_000).alias("component")).agg(F.count("*").alias("volume"))
+    return v.join(labels, "id").groupBy("kind", (F.col("component") % F.col("size")).alias("component")).agg(F.count("*").alias("volume"))

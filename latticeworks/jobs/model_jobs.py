@@ -251,12 +251,12 @@ def terminal_names(spark, sf_dir):
 
 @query(
     f"WITH {_PLACED}, f AS (SELECT * FROM placed WHERE residue_num = 1), u AS (SELECT chain, atom, ax - max(CASE WHEN atom = 'P' THEN ax END) OVER (PARTITION BY chain) AS vx, ay - max(CASE WHEN atom = 'P' THEN ay END) OVER (PARTITION BY chain) AS vy, az - max(CASE WHEN atom = 'P' THEN az END) OVER (PARTITION BY chain) AS vz, max(CASE WHEN atom = 'P' THEN ax END) OVER (PARTITION BY chain) AS px FROM f), "
-    "s AS (SELECT chain, any_value(px) AS px, sum(vx / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS tx, sum(vy / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS ty, sum(vz / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS tz FROM u WHERE atom IN ('OP1', 'OP2', 'O5''') GROUP BY chain) SELECT chain, 'P5' AS atom, round(px - 1.5 * tx / sqrt(tx * tx + ty * ty + tz * tz), 5) + 0.0 AS x FROM s"
+    "s AS (SELECT chain, any_value(px) AS px, sum(vx / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS tx, sum(vy / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS ty, sum(vz / (sqrt(vx * vx + vy * vy + vz * vz) + 1e-8)) AS tz FROM u WHERE atom IN ('OP1', 'OP2', 'O5''') GROUP BY chain) SELECT chain, 'P5' AS base, 'OP3' AS atom, round(px - 1.5 * tx / sqrt(tx * tx + ty * ty + tz * tz), 5) + 0.0 AS x FROM s"
 )
 def chain_caps(spark, sf_dir):
     """A cap atom in front of each chain."""
-    p = placement.place_templates(_framed(spark, sf_dir)).select("chain", "residue_num", "atom", *[F.col(f"a{a}").alias(a) for a in "xyz"])
-    return restraints.add_caps(restraints.strip_caps(p), ["chain"]).select("chain", "atom", rounded(F.col("x"), 5).alias("x"))
+    p = placement.place_templates(_framed(spark, sf_dir)).select("chain", "residue_num", "base", "atom", *[F.col(f"a{a}").alias(a) for a in "xyz"])
+    return restraints.add_caps(restraints.strip_caps(p), ["chain"]).select("chain", "base", "atom", rounded(F.col("x"), 5).alias("x"))
 
 
 @query(f"WITH {CHAINS} SELECT id, CAST(100000 AS DOUBLE) AS weight, round(x / 10, 6) + 0.0 AS x_nm, round(y / 10, 6) + 0.0 AS y_nm, round(z / 10, 6) + 0.0 AS z_nm FROM chains")

@@ -62,14 +62,17 @@ def patches(shape: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def assign_patches(voxels: DataFrame, shape: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Each voxel with every patch that covers it: ib, jb, kb and patch, by arithmetic instead of a range join."""
+    """Each voxel with every patch that covers it: ib, jb, kb and patch, by arithmetic instead of a range join.
+
+    Voxels outside ``shape`` lie in no patch and go.
+    """
     step = size - overlap
     out = voxels.join(F.broadcast(shape))
     for begin, axis, n in (("ib", "z", "nz"), ("jb", "y", "ny"), ("kb", "x", "nx")):
         last = F.size(window_starts(F.col(n), size, overlap)) - 1
         low = F.greatest(F.lit(0), F.ceil((F.col(axis) - size + 1) / step).cast("int"))
         high = F.least(last, F.floor(F.col(axis) / step).cast("int"))
-        out = out.withColumn(begin, F.explode(F.transform(F.sequence(low, high), lambda k: k * step)))
+        out = out.withColumn(begin, F.explode(F.when(low <= high, F.transform(F.sequence(low, high), lambda k: k * step))))
     per = lambda n: F.size(window_starts(F.col(n), size, overlap))
     order = ((F.col("ib") / step) * per("ny") + F.col("jb") / step) * per("nx") + F.col("kb") / step
     return out.withColumn("patch", order.cast("long")).drop("nz", "ny", "nx")
@@ -110,12 +113,8 @@ def ensemble_label(prob_a: Column, prob_b: Column, groups_a: Column, groups_b: C
     return combine_labels((prob_a * 0.5 + prob_b * 0.5).cast("float"), first_argmax(ensemble(groups_a, groups_b)), F.lit(threshold).cast("float"))
 
 
-def box_join(left: DataFrame, right: DataFrame, radius: int, axes: tuple[str, ...] = ("z", "y", "x"), keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of left and right rows whose integer axes differ by ``radius`` at most, as structs l and r.
-
-    Both sides go to boxes of edge 2 * radius + 1; the right side also to the neighbouring boxes that it can reach, so
-    the join has equality keys and no cell is compared with the whole grid.
-    """
+def _boxed(left: DataFrame, right: DataFrame, radius: int, axes: tuple[str, ...], keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str], Column]:
+    """Both sides by box, the columns to join on, and the condition that l and r differ by ``radius`` at most."""
     edge = 2 * radius + 1
     home = lambda a: F.floor(F.col(a) / edge)
     l = left.select(F.struct(*left.columns).alias("l"), *[F.col(k).alias(f"k_{k}") for k in keys], *[home(a).alias(f"b_{a}") for a in axes])
@@ -123,17 +122,33 @@ def box_join(left: DataFrame, right: DataFrame, radius: int, axes: tuple[str, ..
     r = right.select(F.struct(*right.columns).alias("r"), *[F.col(k).alias(f"k_{k}") for k in keys], *[x.alias(f"b_{a}") for x, a in zip(reach, axes, strict=True)])
     for a in axes:
         r = r.withColumn(f"b_{a}", F.explode(f"b_{a}"))
-    joined = l.join(r, [*(f"k_{k}" for k in keys), *(f"b_{a}" for a in axes)])
     near = F.lit(True)
     for a in axes:
         near = near & (F.abs(F.col("l")[a] - F.col("r")[a]) <= radius)
-    return joined.where(near).select("l", "r")
+    return l, r, [*(f"k_{k}" for k in keys), *(f"b_{a}" for a in axes)], near
+
+
+def box_join(left: DataFrame, right: DataFrame, radius: int, axes: tuple[str, ...] = ("z", "y", "x"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left and right rows whose integer axes differ by ``radius`` at most, as structs l and r.
+
+    Both sides go to boxes of edge 2 * radius + 1; the right side also to the neighbouring boxes that it can reach, so
+    the join has equality keys and no cell is compared with the whole grid.
+    """
+    l, r, on, near = _boxed(left, right, radius, axes, keys)
+    return l.join(r, on).where(near).select("l", "r")
 
 
 def local_maxima(voxels: DataFrame, radius: int, value: str = "density", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Voxels whose value is the largest in the cube of ``radius`` around them; all cells of a plateau stay."""
-    higher = box_join(voxels, voxels, radius, keys=keys).where(F.col("r")[value] > F.col("l")[value]).select("l.*").distinct()
-    return voxels.join(higher, voxels.columns, "left_anti")
+    """Voxels whose value is the largest in the cube of ``radius`` around them; all cells of a plateau stay.
+
+    One anti join by box: a voxel goes at the first higher one in its reach, and no pair leaves the join.
+    """
+    l, r, on, near = _boxed(voxels, voxels, radius, ("z", "y", "x"), keys)
+    same = near & (F.col("r")[value] > F.col("l")[value])
+    r = r.select("r", *[F.col(c).alias(f"_{c}") for c in on])
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return l.join(r, same, "left_anti").select("l.*")
 
 
 def neighbour_offsets(connectivity: int) -> list[tuple[int, int, int]]:

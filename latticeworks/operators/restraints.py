@@ -62,19 +62,28 @@ def position_restraints(atoms: DataFrame, weight: float = 100000.0) -> DataFrame
     return atoms.where("atom = 'P'").select("id", F.lit(weight).alias("weight"), *[(F.col(a) / 10).alias(f"{a}_nm") for a in "xyz"])
 
 
-def add_caps(atoms: DataFrame, keys: list[str]) -> DataFrame:
-    """A row (atom P5, at the cap position) for each chain whose first residue has P, OP1, OP2 and O5'."""
-    first = atoms.join(atoms.groupBy(*keys).agg(F.min("residue_num").alias("residue_num")), [*keys, "residue_num"])
+# Residue and atom name of a cap.
+CAP_RESIDUE, CAP_ATOM = "P5", "OP3"
+
+
+def add_caps(atoms: DataFrame, keys: list[str], name: str = "base") -> DataFrame:
+    """A row for each chain whose first residue has a known base and P, OP1, OP2 and O5': keys, residue_num, the residue
+    name of a cap in the column ``name``, its atom, and the cap position.
+
+    Caps form a chain of their own (the chain's name and ``_cap``) wherever they are written. A chain whose first
+    residue lacks an atom, or has another name, has no cap.
+    """
+    first = atoms.join(atoms.groupBy(*keys).agg(F.min("residue_num").alias("residue_num")), [*keys, "residue_num"]).where(canonical_base(F.col(name)).isNotNull())
     names = {"P": "p", "OP1": "a", "OP2": "b", "O5'": "c"}
     wide = first.groupBy(*keys, "residue_num").agg(*[F.max(F.when(F.col("atom") == n, F.col(a))).alias(f"{k}{a}") for n, k in names.items() for a in "xyz"])
     whole = wide.where(" and ".join(f"{k}x is not null" for k in names.values()))
     point = cap_position(*[V.vec(*(f"{k}{a}" for a in "xyz")) for k in names.values()])
-    return whole.select(*keys, "residue_num", F.lit("P5").alias("atom"), *[c.alias(a) for c, a in zip(point, "xyz", strict=True)])
+    return whole.select(*keys, "residue_num", F.lit(CAP_RESIDUE).alias(name), F.lit(CAP_ATOM).alias("atom"), *[c.alias(a) for c, a in zip(point, "xyz", strict=True)])
 
 
-def strip_caps(atoms: DataFrame) -> DataFrame:
-    """Rows that are no caps."""
-    return atoms.where("atom <> 'P5'")
+def strip_caps(atoms: DataFrame, name: str = "base") -> DataFrame:
+    """Rows whose residue is no cap; an atom that merely bears a cap's name stays."""
+    return atoms.where(~F.col(name).eqNullSafe(CAP_RESIDUE))
 
 
 def drop_spurious_hydrogens(atoms: DataFrame, capped: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,16 @@ def local_session(cpus: int | str = "*", app: str = "latticeworks", **conf: str)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name below the checkpoint folder; a cluster names that in spark.checkpoint.dir, a local run gets its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-latticeworks-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

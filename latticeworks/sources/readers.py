@@ -115,3 +115,11 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def verified(path_digest: DataFrame, expected: DataFrame) -> DataFrame:
     """path of files whose SHA-256 is not the expected one (path, content against path, digest)."""
     return path_digest.select("path", F.sha2("content", 256).alias("found")).join(expected, "path").where("found <> digest").select("path", "found", "digest")
+
+
+def read_atom_site(spark: SparkSession, path: str) -> DataFrame:
+    """serial, atom, base, chain, residue_num, x, y, z, element of atom_site rows; fields are split, so of any width."""
+    part = F.split("value", " ")
+    cell = lambda k, kind="string": F.get(part, F.lit(k)).cast(kind)
+    rows = spark.read.text(path).where("value like 'ATOM %'")
+    return rows.select(cell(1, "long").alias("serial"), F.regexp_replace(cell(3), '"', "").alias("atom"), cell(5).alias("base"), cell(6).alias("chain"), cell(8, "int").alias("residue_num"), *[cell(10 + k, "double").alias(a) for k, a in enumerate("xyz")], cell(2).alias("element"))

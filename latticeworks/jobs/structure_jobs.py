@@ -286,3 +286,53 @@ def coverage_anti(spark, sf_dir):
     """Expected keys that nothing covers."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return selection.missing(c, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+def _gap_inputs(spark, sf_dir):
+    """Anchors of six residues in every twelve, the path of all sites but some, sizes and the anchored sites."""
+    c = chains(spark, sf_dir).withColumn("anchored", F.expr("(residue_num - 1) % 12 < 6"))
+    place = Window.partitionBy("chain").orderBy("residue_num")
+    kept = c.where("anchored or id % 3 <> 0").withColumn("path_pos", F.row_number().over(place) - 1)
+    path = kept.select("chain", "path_pos", F.col("id").alias("atom"), "x", "y", "z", F.expr("case when id % 5 < 2 then 1 when id % 5 < 4 then -1 else 0 end").alias("grp"), ((F.col("id") % 10) / 10.0).alias("conf"))
+    block = F.floor((F.col("residue_num") - 1) / 12)
+    anchors = kept.where("anchored").groupBy("chain", block.alias("block")).agg(F.min("residue_num").alias("residue_start"), F.max("residue_num").alias("residue_end"), F.min("path_pos").alias("path_start")).withColumn("direction", F.lit(1))
+    sizes = c.groupBy("chain").agg(F.count_if(F.expr("anchored or id % 3 <> 0")).alias("n_path"), F.max("residue_num").alias("n_sequence"))
+    fixed = kept.where("anchored").select("chain", "residue_num", F.col("id").alias("atom"), "x", "y", "z")
+    return c, path, anchors, sizes, fixed
+
+
+_GAPS = (
+    f"{CHAINS}, k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY residue_num) - 1 AS path_pos FROM chains WHERE (residue_num - 1) % 12 < 6 OR id % 3 <> 0), "
+    "z AS (SELECT c.chain, max(c.residue_num) AS n_sequence, max(k.path_pos) + 1 AS n_path FROM chains c LEFT JOIN k ON k.chain = c.chain AND k.residue_num = c.residue_num GROUP BY c.chain), "
+    "a AS (SELECT chain, (residue_num - 1) // 12 AS block, min(residue_num) AS rs, max(residue_num) AS re, min(path_pos) AS ps, max(path_pos) AS pe FROM k WHERE (residue_num - 1) % 12 < 6 GROUP BY 1, 2), "
+    "g AS (SELECT a.chain, re + 1 AS residue_lo, coalesce(lead(rs) OVER w - 1, n_sequence) AS residue_hi, pe + 1 AS path_lo, coalesce(lead(ps) OVER w, n_path) - 1 AS path_hi FROM a JOIN z ON z.chain = a.chain WINDOW w AS (PARTITION BY a.chain ORDER BY block))"
+)
+
+
+@query(f"WITH {_GAPS} SELECT chain, residue_lo, residue_hi, path_lo, path_hi FROM g WHERE residue_lo <= residue_hi")
+def gap_ranges(spark, sf_dir):
+    """Residues without an anchor and the free places of the path that face them."""
+    _, _, anchors, sizes, _ = _gap_inputs(spark, sf_dir)
+    return gaps.gap_candidates(anchors, sizes, ["chain"]).select("chain", "residue_lo", "residue_hi", "path_lo", "path_hi")
+
+
+def _repaired(spark, sf_dir):
+    c, path, anchors, sizes, fixed = _gap_inputs(spark, sf_dir)
+    wanted = c.select("chain", "residue_num", sequences.base_group(F.col("base")).alias("grp"))
+    problems = gaps.gap_problems(gaps.gap_candidates(anchors, sizes, ["chain"]), path, fixed, wanted, ["chain"])
+    return c, fixed, sizes, problems, gaps.repair_gaps(problems, ["chain"])
+
+
+@query()
+def gap_repair(spark, sf_dir):
+    """The best filling of each gap; tests hold it against trying all ways one by one."""
+    r = _repaired(spark, sf_dir)[4]
+    return r.select("chain", "gap", "residue_num", "atom", *[rounded(F.col(a)).alias(a) for a in "xyz"], "method")
+
+
+@query(f"WITH {CHAINS} SELECT chain, residue_num, (residue_num - 1) % 12 < 6 AS anchored FROM chains")
+def gap_splice(spark, sf_dir):
+    """Each residue once, anchored ones with their own site and the others repaired or derived."""
+    c, fixed, sizes, problems, repaired = _repaired(spark, sf_dir)
+    out = gaps.splice(fixed, repaired, problems, c.select("chain", "residue_num", F.col("id").alias("atom")), sizes, ["chain"])
+    return out.select("chain", "residue_num", (F.col("source") == "anchor").alias("anchored"))

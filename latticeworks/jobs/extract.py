@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import allocation, graph, grid, kernels
+from ..operators import allocation, graph, grid, kernels, spatial
 
 
-def extract_sites(voxels: DataFrame, expected: int, least: int = 10) -> DataFrame:
-    """cluster, peak, z, y, x: ``expected`` sites shared out among the 18-connected clusters of ``voxels``.
+def extract_sites(voxels: DataFrame, expected: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """keys, cluster, peak, z, y, x: the sites ``expected`` (keys, target) of each map, shared out among its 18-connected
+    clusters.
 
-    ``voxels``: z, y, x, density of one class of one map. Clusters below ``least`` voxels get no site; each other one
-    gets as many density-weighted centres as its volume is worth.
+    ``voxels``: keys, z, y, x, density of one class. Clusters below ``least`` voxels get no site; each other one gets as
+    many density-weighted centres as its volume is worth. ``cluster`` is the struct (z, y, x) of its first voxel. A map
+    that ``expected`` does not name gives no row.
     """
-    placed = voxels.withColumn("id", (F.col("z").cast("long") * 1_000_000 + F.col("y")) * 1_000_000 + F.col("x"))
-    labels = graph.connected_components(placed, grid.grid_edges(placed, 18))
-    clustered = placed.join(labels, "id").withColumnRenamed("component", "cluster")
-    volumes = clustered.groupBy("cluster").agg(F.count("*").alias("volume")).withColumn("map", F.lit(0))
-    unit = allocation.unit_volume(volumes, ["map"])
-    rows = volumes.join(F.broadcast(unit), "map").withColumn("alloc", allocation.first_allocation(F.col("volume"), F.col("unit"))).withColumn("target", F.lit(expected).cast("long"))
-    shares = allocation.adjust_allocation(rows, ["map"]).where((F.col("final") > 0) & (F.col("volume") >= least)).select("cluster", F.col("final").cast("int").alias("n"))
-    return kernels.weighted_kmeans(clustered.join(shares, "cluster").select("cluster", "density", "n", "z", "y", "x"), ["cluster"])
+    place = F.struct("z", "y", "x")
+    placed = voxels.withColumn("id", F.struct(*keys, place.alias("first")))
+    labels = graph.connected_components(placed, grid.grid_edges(placed, 18, keys=tuple(keys)))
+    clustered = placed.join(labels, "id").withColumn("cluster", F.col("component.first"))
+    volumes = clustered.groupBy(*keys, "cluster").agg(F.count("*").alias("volume"))
+    unit = allocation.unit_volume(volumes, keys)
+    rows = volumes.join(unit, keys).join(expected.select(*keys, F.col("target").cast("long").alias("target")), keys)
+    rows = rows.withColumn("alloc", allocation.first_allocation(F.col("volume"), F.col("unit")))
+    shares = allocation.adjust_allocation(rows, keys).where((F.col("final") > 0) & (F.col("volume") >= least)).select(*keys, "cluster", F.col("final").cast("int").alias("n"))
+    named = clustered.join(shares, [*keys, "cluster"]).withColumn("name", F.to_json("cluster"))
+    peaks = kernels.weighted_kmeans(named.select(*keys, "name", "density", "n", "z", "y", "x"), [*keys, "name"])
+    return peaks.withColumn("cluster", F.from_json("name", "z int, y int, x int")).select(*keys, "cluster", "peak", "z", "y", "x")
+
+
+def too_near(sites: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, sites, near: how many sites of each map have another one nearer than ``least``; a usable map has none."""
+    named = sites.withColumn("id", F.struct("cluster", "peak"))
+    pairs = spatial.radius_join(named, named, least, keys=tuple(keys)).where((F.col("l.id") != F.col("r.id")) & (spatial.distance(F.col("l"), F.col("r")) < least))
+    close = pairs.select(*[F.col("l")[k].alias(k) for k in keys], F.col("l.id").alias("id")).distinct().withColumn("close", F.lit(1))
+    return named.join(close, [*keys, "id"], "left").groupBy(*keys).agg(F.count("*").alias("sites"), F.count("close").alias("near"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.numeric import half_even, rounded
 from ..operators import allocation, flips, gaps, pairs, placement, restraints, selection, sequences
-from ..session import table
+from ..session import shared_folder, table
 from .adapters import CHAINS, CLOUD, PAIRS, chains, cloud, scored_pairs
 from .registry import query
 
@@ -319,8 +319,9 @@ def gap_ranges(spark, sf_dir):
 def _repaired(spark, sf_dir):
     c, path, anchors, sizes, fixed = _gap_inputs(spark, sf_dir)
     wanted = c.select("chain", "residue_num", sequences.base_group(F.col("base")).alias("grp"))
-    problems = gaps.gap_problems(gaps.gap_candidates(anchors, sizes, ["chain"]), path, fixed, wanted, ["chain"])
-    return c, fixed, sizes, problems, gaps.repair_gaps(problems, ["chain"])
+    shared_folder(spark)  # names the checkpoint folder; both tables are read several times
+    problems = gaps.gap_problems(gaps.gap_candidates(anchors, sizes, ["chain"]), path, fixed, wanted, ["chain"]).checkpoint()
+    return c, fixed, sizes, problems, gaps.repair_gaps(problems, ["chain"]).checkpoint()
 
 
 @query()

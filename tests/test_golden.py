@@ -253,11 +253,15 @@ def test_documents(spark, tmp_path):
 
 
 def test_extract_job(spark):
-    from latticeworks.jobs.extract import extract_sites
-
-    cells = [(z, y, x, 5.0) for c in (0, 20) for z in range(3) for y in range(3) for x in range(c, c + 4)]
-    v = spark.createDataFrame(cells, "z int, y int, x int, density double")
-    sites = extract_sites(v, 2).collect()
+    from latticeworks.jobs.extract import extract_sites, too_near
+
+    cells = [(m, z, y, x, 5.0) for m in "ab" for c in (0, 20) for z in range(3) for y in range(3) for x in range(c, c + 4)]
+    v = spark.createDataFrame(cells, "map string, z int, y int, x int, density double")
+    found = extract_sites(v, spark.createDataFrame([("a", 2)], "map string, target int"), ["map"])
+    sites = found.collect()
+    assert {s["map"] for s in sites} == {"a"}
+    assert [tuple(r) for r in too_near(found, ["map"], 2.5).collect()] == [("a", 2, 0)]
+    assert [tuple(r) for r in too_near(found, ["map"], 20.5).collect()] == [("a", 2, 2)]
     assert sorted(round(s["x"], 1) for s in sites) == [1.5, 21.5]
 
 

@@ -147,16 +147,3 @@ def grid_components(spark, sf_dir):
     v = c.where(F.col("density") > CONTOUR).join(F.broadcast(extent)).join(codes, "kind").withColumn("id", F.col("code") * F.col("size") + F.expr(_ID)).drop("code", "ny")
     labels = graph.connected_components(v, grid.grid_edges(v, 18, keys=("kind",)))
     return v.join(labels, "id").groupBy("kind", (F.col("component") % F.col("size")).alias("component")).agg(F.count("*").alias("volume"))
-
-
-@query()
-def extract(spark, sf_dir):
-    """Sites of each class above the contour, one for 40 cells, and how many lie too near to another.
-
-    Tests hold the job against small maps with known sites.
-    """
-    from .extract import extract_sites, too_near
-
-    v = cells(spark, sf_dir).where(F.col("density") > CONTOUR).select("kind", "z", "y", "x", "density")
-    expected = v.groupBy("kind").agg(F.ceil(F.count("*") / 40).alias("target"))
-    return too_near(extract_sites(v, expected, ["kind"], least=2), ["kind"], 2.5)

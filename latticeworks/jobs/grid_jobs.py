@@ -147,4 +147,3 @@ def grid_components(spark, sf_dir):
     v = c.where(F.col("density") > CONTOUR).join(F.broadcast(extent)).join(codes, "kind").withColumn("id", F.col("code") * F.col("size") + F.expr(_ID)).drop("code", "ny")
     labels = graph.connected_components(v, grid.grid_edges(v, 18, keys=("kind",)))
     return v.join(labels, "id").groupBy("kind", (F.col("component") % F.col("size")).alias("component")).agg(F.count("*").alias("volume"))
-

@@ -230,7 +230,7 @@ def path_flip(spark, sf_dir):
 @query()
 def path_trace(spark, sf_dir):
     """G20 (fallback): an open path through each class of points."""
-    return kernels.open_path(cloud(spark, sf_dir).select("label", "id", "x", "y", "z"), ["label"], rounds=5)
+    return kernels.open_path(cloud(spark, sf_dir).select("label", "id", "x", "y", "z"), ["label"])
 
 
 @query()

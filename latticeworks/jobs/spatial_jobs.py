@@ -89,6 +89,16 @@ def connectivity_threshold(spark, sf_dir):
     return graph.first_connecting(spatial.radius_pairs(c, 4.0), c, [2.0, 3.0, 4.0])
 
 
+@query(
+    "SELECT count(*) FILTER (components <= 1) > 0 AS connected, coalesce(min(threshold) FILTER (components <= 1), max(threshold)) AS threshold, "
+    f"coalesce(arg_min(components, threshold) FILTER (components <= 1), arg_max(components, threshold)) AS components FROM ({' UNION ALL '.join(map(_threshold_sql, (2.0, 4.0, 8.0, 12.0)))})"
+)
+def connectivity_report(spark, sf_dir):
+    """The first threshold that connects all points, else the largest and the components it leaves."""
+    c = cloud(spark, sf_dir)
+    return graph.connected_at(graph.first_connecting(spatial.radius_pairs(c, 12.0), c, [2.0, 4.0, 8.0, 12.0]))
+
+
 @query(
     f"WITH RECURSIVE {CLOUD}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM cloud), n AS (SELECT label, max(k) AS n FROM o GROUP BY label), "
     "s AS (SELECT label, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) AS kept FROM n UNION ALL "

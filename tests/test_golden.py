@@ -272,3 +272,19 @@ def test_stream(spark, tmp_path):
     q = rollup.class_totals(rollup.event_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("totals").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_components_of_stars_lines_and_loops(spark):
+    from latticeworks.operators import graph
+
+    edges = [(9, k) for k in range(1, 5)] + [(k, k + 1) for k in range(20, 60)] + [(70, 70), (None, 20), (80, 81), (81, 80), (80, 81)]
+    v = spark.createDataFrame([(k,) for k in [*range(1, 5), 9, *range(20, 61), 70, 80, 81, 90, None]], "id long")
+    got = {r["id"]: r["component"] for r in graph.connected_components(v, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([1, 2, 3, 4, 9], 1), **dict.fromkeys(range(20, 61), 20), 70: 70, 80: 80, 81: 80, 90: 90, None: None}
+    none = spark.createDataFrame([], "a long, b long, d double")
+    assert graph.connected_components(v, none).count() == v.count()
+    pairs = spark.createDataFrame([(1, 2, 1.0), (3, 4, 2.0), (2, 3, 3.0)], "a long, b long, d double")
+    counts = graph.first_connecting(pairs, v.where("id <= 4"), [1.0, 2.0, 3.0, 4.0])
+    assert [r["components"] for r in counts.orderBy("threshold").collect()] == [3, 2, 1, 1]
+    assert graph.connected_at(counts).first().asDict() == {"connected": True, "threshold": 3.0, "components": 1}
+    assert graph.connected_at(counts.where("threshold < 3")).first().asDict() == {"connected": False, "threshold": 2.0, "components": 2}

@@ -1,4 +1,4 @@
-"""The extraction job as one plan: components of a grid's class, volumes, allocation and peaks."""
+"""The extraction job: components of a grid's class, volumes, allocation and peaks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import allocation, graph, grid, kernels, spatial
+from ..session import shared_folder, written
 
 
 def extract_sites(voxels: DataFrame, expected: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
@@ -19,7 +20,7 @@ def extract_sites(voxels: DataFrame, expected: DataFrame, keys: list[str], least
     place = F.struct("z", "y", "x")
     placed = voxels.withColumn("id", F.struct(*keys, place.alias("first")))
     labels = graph.connected_components(placed, grid.grid_edges(placed, 18, keys=tuple(keys)))
-    clustered = placed.join(labels, "id").withColumn("cluster", F.col("component.first"))
+    clustered = written(placed.join(labels, "id").withColumn("cluster", F.col("component.first")).drop("id", "component"), shared_folder(voxels.sparkSession))
     volumes = clustered.groupBy(*keys, "cluster").agg(F.count("*").alias("volume"))
     unit = allocation.unit_volume(volumes, keys)
     rows = volumes.join(unit, keys).join(expected.select(*keys, F.col("target").cast("long").alias("target")), keys)
@@ -27,7 +28,8 @@ def extract_sites(voxels: DataFrame, expected: DataFrame, keys: list[str], least
     shares = allocation.adjust_allocation(rows, keys).where((F.col("final") > 0) & (F.col("volume") >= least)).select(*keys, "cluster", F.col("final").cast("int").alias("n"))
     named = clustered.join(shares, [*keys, "cluster"]).withColumn("name", F.to_json("cluster"))
     peaks = kernels.weighted_kmeans(named.select(*keys, "name", "density", "n", "z", "y", "x"), [*keys, "name"])
-    return peaks.withColumn("cluster", F.from_json("name", "z int, y int, x int")).select(*keys, "cluster", "peak", "z", "y", "x")
+    sites = peaks.withColumn("cluster", F.from_json("name", "z int, y int, x int")).select(*keys, "cluster", "peak", "z", "y", "x")
+    return written(sites, shared_folder(voxels.sparkSession))
 
 
 def too_near(sites: DataFrame, keys: list[str], least: float) -> DataFrame:

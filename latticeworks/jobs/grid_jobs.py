@@ -147,3 +147,19 @@ def grid_components(spark, sf_dir):
     v = c.where(F.col("density") > CONTOUR).join(F.broadcast(extent)).join(codes, "kind").withColumn("id", F.col("code") * F.col("size") + F.expr(_ID)).drop("code", "ny")
     labels = graph.connected_components(v, grid.grid_edges(v, 18, keys=("kind",)))
     return v.join(labels, "id").groupBy("kind", (F.col("component") % F.col("size")).alias("component")).agg(F.count("*").alias("volume"))
+
+
+@query()
+def extract(spark, sf_dir):
+    """Sites in maps of blocks of the grid (three by four cells, 16 rows), one for 40 blocks, and how many lie
+    too near to another.
+
+    More users give more maps, not larger ones. Tests hold the job against small maps with known sites.
+    """
+    from .extract import extract_sites, too_near
+
+    place = [F.expr("y div 16").alias("map"), F.expr("z div 3").alias("z"), "y", F.expr("x div 4").alias("x")]
+    v = cells(spark, sf_dir).where(F.col("density") > CONTOUR).select("kind", *place, "density")
+    v = v.groupBy("kind", "map", *[F.col(a).cast("int").alias(a) for a in "zyx"]).agg(F.max("density").alias("density"))
+    expected = v.groupBy("kind", "map").agg(F.ceil(F.count("*") / 40).alias("target"))
+    return too_near(extract_sites(v, expected, ["kind", "map"], least=2), ["kind", "map"], 2.5)

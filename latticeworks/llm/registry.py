@@ -1,8 +1,8 @@
-"""Queries of this subpackage and their SQL; the ten operators and the pipeline."""
+"""Queries of this subpackage and their SQL; the thirteen operators and the pipeline."""
 
 from __future__ import annotations
 
-from . import ann, decontamination, licenses, neardup, packing, pii, sharding, suffix_dedup, token_counts, toxicity
+from . import alignment, ann, decontamination, licenses, neardup, packing, periodic, pii, sharding, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op7_pii": pii.op7_pii,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op8_sharding": sharding.op8_sharding,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_warc": warc.op13_warc,
     }
 
 
@@ -24,4 +27,5 @@ def oracles() -> dict:
     return {
         "op6_minhash": neardup.OP6_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
+        "op13_warc": warc.OP13_SQL,
     }

@@ -22,9 +22,9 @@ from .textbytes import flat, slices
 
 #: A pair with at least this share of all links is frequent: there are at most 1 / SHARE of them.
 SHARE = 1 / 20_000
-#: Characters of a piece of text that is encoded at once; distinct pairs that a task keeps before it passes them on.
-PIECE, KEPT = 1 << 16, 1 << 20
-_BOUNDARY = re.compile(r"(?<=\S) ")
+#: Distinct pairs that a task keeps before it passes them on; words, and characters of words, that a worker remembers.
+KEPT, WORDS, LETTERS = 1 << 20, 300_000, 1 << 22
+_BOUNDARY = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 _INNER = re.compile("[^▁]▁")
 
 
@@ -35,9 +35,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Pool:
+    """Lists of ids one behind the other, by the number of the list."""
+
+    def __init__(self):
+        self.ids, self.used, self.starts, self.sizes = np.zeros(1024, np.int64), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, lists: list[list[int]]) -> None:
+        sizes = np.array([len(x) for x in lists], np.int64)
+        end = self.used + int(sizes.sum())
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : end] = np.fromiter((i for x in lists for i in x), np.int64, end - self.used)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes, self.used = np.concatenate([self.sizes, sizes]), end
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Vocabularies:
     """Tokenizer A (byte level), tokenizer B (pieces), the bytes of their tokens and ``same``: for each id of A the id of
-    B with the same bytes, or -1."""
+    B with the same bytes, or -1. Words that were encoded are remembered with their ids."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,30 +83,44 @@ class Vocabularies:
         names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
         self.a_names = names(len(self.a_bytes), ","), names(len(self.a_bytes), "|")
         self.b_names = names(len(self.b_bytes), ","), names(len(self.b_bytes), ";")
-
-    def pieces(self, text: str) -> list[str]:
-        """``text``, which begins with a space, cut before single spaces behind other characters: no token of A or B
-        reaches over such a place, so the pieces' tokens are those of the whole."""
-        out, at = [], 0
-        while self.cuttable and len(text) - at > PIECE and (cut := _BOUNDARY.search(text, at + PIECE)):
-            out.append(text[at : cut.start()])
-            at = cut.start()
-        return [*out, text[at:]]
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A over a space and the text, ids of B over the text; none if their bytes differ from space and text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        full, a, b = " " + text, [], []
-        for piece in self.pieces(full):
-            own_a, own_b = self.a.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.b.encode(piece[1:])
-            raw = piece.encode()
-            if b"".join(map(self.a_bytes.__getitem__, own_a)) != raw or b"".join(map(self.b_bytes.__getitem__, own_b)) != raw:
-                return none, none
-            a.append(np.array(own_a, np.int64))
-            b.append(np.array(own_b, np.int64))
-        return np.concatenate(a), np.concatenate(b)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.letters, self.known_a, self.known_b = {}, 0, _Pool(), _Pool()
+        self.whole = np.zeros(0, bool)  # whether the ids of A and of B spell the word
+
+    def words(self, text: str) -> list[str]:
+        """A space and the text, cut before spaces behind other characters: no token of A or B reaches over such a place,
+        so the words' tokens are those of the whole (a last space stays with its word). If B has a piece that does, there is one word."""
+        return _BOUNDARY.split(" " + text) if self.cuttable else [" " + text]
+
+    def _learn(self, new: list[str]) -> None:
+        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        b = self.b.encode([w[1:] for w in new], num_threads=1)
+        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids))
+        whole = [spelled(x, self.a_bytes) == w.encode() == spelled(y, self.b_bytes) for w, x, y in zip(new, a, b, strict=True)]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.letters += sum(map(len, new))
+        self.known_a.add(a)
+        self.known_b.add(b)
+        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A over a space and each text with the bounds of the texts, and the same of B over the text; none for a
+        text of which some word is not spelled by its ids."""
+        if len(self.number) > WORDS or self.letters > LETTERS:
+            self._forget()
+        words = [self.words(t) if t else [] for t in texts]
+        new = list(dict.fromkeys(w for own in words for w in own if w not in self.number))
+        for k in range(0, len(new), 4096):
+            self._learn(new[k : k + 4096])
+        sizes = np.array([len(own) for own in words], np.int64)
+        numbers = np.fromiter((self.number[w] for own in words for w in own), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        right = (np.bincount(owner, ~self.whole[numbers], minlength=len(texts)) == 0)[owner]
+        numbers, owner = numbers[right], owner[right]
+        bounds = lambda pool: np.concatenate([[0], np.cumsum(np.bincount(owner, pool.sizes[numbers], minlength=len(texts)))]).astype(np.int64)
+        return self.known_a.gather(numbers), bounds(self.known_a), self.known_b.gather(numbers), bounds(self.known_b)
 
 
 _WORKER: dict[tuple[str, str], Vocabularies] = {}
@@ -108,11 +143,9 @@ def _counted(owner: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray
     return both // size, both % size, n
 
 
-def align(v: Vocabularies, encoded: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
-    """Groups and links of several documents at once, given by their ids of A and B."""
-    n = len(encoded)
-    a, b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
-    a_at, b_at = (np.concatenate([[0], np.cumsum([len(e[k]) for e in encoded])]).astype(np.int64) for k in (0, 1))
+def align(v: Vocabularies, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> dict[str, pa.Array]:
+    """Groups and links of several documents at once, given by their ids of A and B and the documents' bounds in them."""
+    n = len(a_at) - 1
     a_ends, b_ends = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
     cuts, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
     doc_ends = np.concatenate([[0], a_ends])[a_at[1:]]
@@ -153,7 +186,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     Texts that are null, empty, or whose tokens do not spell a space and the text (a tokenizer that changes them) have
     no tokens: zeros, an empty string, empty lists. A doc_id may be null or repeated: every row stands for itself. Long
-    texts are encoded in pieces that give the tokens of the whole; other columns are ignored; empty in, empty out.
+    texts are encoded by words, which give the tokens of the whole; other columns are ignored; empty in, empty out.
     """
 
     def run(batches):
@@ -161,7 +194,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             _, offsets = flat(batch.column(1))
             for i, j in slices(offsets):
-                columns = align(v, [v.encode(t) for t in batch.column(1).slice(i, j - i).to_pylist()])
+                columns = align(v, *v.encode(batch.column(1).slice(i, j - i).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns.values()], ["doc_id", *columns])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _ALIGNED)

@@ -273,13 +273,15 @@ def resolved(records: DataFrame) -> DataFrame:
     """Records with target_page: X-Page-Id of the response that a revisit refers to, null where that is not there.
 
     Responses that a revisit names are taken once each; the payload size of a revisit is that of its response if found.
+    Only revisits are joined, with a table of one row an id, so Spark can split the revisits of a much copied page.
     """
     page = F.element_at("headers", F.lit("x-page-id"))
     rows = records.where("gap IS NULL").select("record_id", "record_type", "refers_to", page.alias("page"), "payload_bytes", "payload_digest")
+    alone = rows.where("refers_to IS NULL").withColumn("target_page", F.lit(None).cast("string"))
     named = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page").alias("target_page"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("digest"))
-    named = named.groupBy("refers_to").agg(F.min("target_page").alias("target_page"), F.min("full_bytes").alias("full_bytes"))
-    joined = rows.join(named, "refers_to", "left")
-    return joined.withColumn("payload_bytes", F.coalesce("full_bytes", "payload_bytes")).drop("full_bytes")
+    named = materialize(named.groupBy("refers_to").agg(F.min("target_page").alias("target_page"), F.min("full_bytes").alias("full_bytes")), "responses")
+    joined = rows.where("refers_to IS NOT NULL").join(named, "refers_to", "left")
+    return alone.unionByName(joined.withColumn("payload_bytes", F.coalesce("full_bytes", "payload_bytes")).drop("full_bytes"))
 
 
 def op13_warc(spark, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_pair_counts(spark, v):
     links = Counter()
     for x in t.values():
         if x:
-            raw, (a, b) = (" " + x).encode(), v.encode(x)
+            raw, (a, _, b, _) = (" " + x).encode(), v.encode([x])
             sa, sb = spans([len(v.a_bytes[k]) for k in a]), spans([len(v.b_bytes[k]) for k in b])
             assert not len(a) or sa[-1][1] == len(raw)
             links.update((int(p), int(q)) for p, (s, e) in zip(a, sa, strict=True) for q, (s2, e2) in zip(b, sb, strict=True) if max(s, s2) < min(e, e2))
@@ -86,14 +86,17 @@ def test_pair_counts(spark, v):
     assert {(r.key // size, r.key % size): r.n for r in counts.collect()} == dict(links)
 
 
-def test_pieces_of_long_texts(v, monkeypatch):
+def test_words_give_the_tokens_of_the_whole(v, monkeypatch):
     rng = random.Random(4)
-    long = " ".join("".join(rng.choice("abcdeé漢.'-") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", " ", "\n", "\t "]) for _ in range(3000))
-    whole = v.encode(long)
-    monkeypatch.setattr(alignment, "PIECE", 50)
-    cut = v.encode(long)
-    assert len(v.pieces(" " + long)) > 100 and "".join(v.pieces(" " + long)) == " " + long
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and len(whole[0]) > 3000
+    gaps = ["", "", " ", "  ", "\n", "\t ", " \n ", "\u00a0 ", "\u3000"]
+    long = " ".join("".join(rng.choice("abcdeéTH漢🙂.'-1") for _ in range(rng.randrange(1, 9))) + rng.choice(gaps) for _ in range(3000))
+    assert v.cuttable and len(v.words(long)) > 2000 and "".join(v.words(long)) == " " + long
+    for text in (long, "x" * 5000, "  lead", "trail  ", "don't  we'll 've"):
+        a, _, b, _ = v.encode([text])
+        assert a.tolist() == v.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == v.b.encode(text)
+    before = v.encode([long, "", "again"])
+    monkeypatch.setattr(alignment, "WORDS", 10)  # forget the words and learn them anew
+    assert all((x == y).all() for x, y in zip(before, v.encode([long, "", "again"]), strict=True))
 
 
 def test_same_bytes(v):

@@ -90,7 +90,7 @@ def test_words_give_the_tokens_of_the_whole(v, monkeypatch):
     rng = random.Random(4)
     gaps = ["", "", " ", "  ", "\n", "\t ", " \n ", "\u00a0 ", "\u3000"]
     long = " ".join("".join(rng.choice("abcdeéTH漢🙂.'-1") for _ in range(rng.randrange(1, 9))) + rng.choice(gaps) for _ in range(3000))
-    assert v.cuttable and len(v.words(long)) > 2000 and "".join(v.words(long)) == " " + long
+    assert v.cuttable and len(v.words(long)) > 1500 and "".join(v.words(long)) == " " + long
     for text in (long, "x" * 5000, "  lead", "trail  ", "don't  we'll 've"):
         a, _, b, _ = v.encode([text])
         assert a.tolist() == v.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == v.b.encode(text)

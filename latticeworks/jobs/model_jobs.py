@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.numeric import rounded
-from ..operators import flips, kernels, placement, restraints, selection, sequences
+from ..operators import flips, kernels, placement, registration, restraints, selection, sequences
 from ..session import table
-from .adapters import CHAINS, chains, cloud
+from .adapters import CHAINS, CLOUD, chains, cloud
 from .registry import query
 
 # The frame of each residue in SQL: neighbours by row order, the partner by residue (n + 1 - own number).
@@ -220,6 +220,69 @@ def flip_best(spark, sf_dir):
     return best.select("k", "i", "j", rounded(F.col("gain")).alias("gain"))
 
 
+def _full_paths(spark, sf_dir):
+    """Chains of 48 points in the order of their ids with hairpin pairs, some left out, groups and confidences."""
+    c = cloud(spark, sf_dir).select(F.expr("id div 48").cast("int").alias("chain"), F.expr("id % 48").cast("int").alias("at"), "id", "x", "y", "z")
+    grp = F.expr("case when id % 7 = 0 then 0 when id * 13 % 11 < 5 then 1 else -1 end")
+    conf = F.expr("1.0D - (id % 4) * 0.25D")
+    site = F.struct("at", F.col("id").alias("atom"), "x", "y", "z", grp.alias("grp"), conf.alias("conf"), F.lit(None).cast("int").alias("anchor"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("wanted"))
+    rows = c.groupBy("chain").agg(F.array_sort(F.collect_list(site)).alias("s"), F.collect_list(F.when(F.expr("at < 20 and id % 3 <> 0"), F.struct((F.col("at") + 1).alias("i"), (48 - F.col("at")).alias("j")))).alias("pairs"))
+    path = F.transform("s", lambda p: F.struct(*[p[k].alias(k) for k in ("atom", "x", "y", "z", "grp", "conf", "anchor")]))
+    return rows.select("chain", path.alias("path"), "pairs", F.transform("s", lambda p: p["wanted"]).alias("groups"))
+
+
+_MOVED = "CASE WHEN {p} >= ij.i AND {p} < ij.j THEN ij.i + ij.j - 1 - {p} ELSE {p} END"
+_FULL = (
+    f"WITH {CLOUD}, c AS (SELECT id // 48 AS chain, CAST(id % 48 AS INT) AS p, id, x, y, z, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS w, CASE WHEN id % 7 = 0 THEN 0 WHEN (id * 13) % 11 < 5 THEN 1 ELSE -1 END * (1.0 - (id % 4) * 0.25) AS g FROM cloud), "
+    "d AS MATERIALIZED (SELECT a.chain, a.p, b.p AS q, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM c a JOIN c b ON a.chain = b.chain), o AS MATERIALIZED (SELECT *, CASE WHEN d BETWEEN 15 AND 22 THEN 1 ELSE 0 END AS ok FROM d), "
+    "pr AS (SELECT a.chain, a.p AS a, b.p AS b FROM c a JOIN c b ON a.chain = b.chain AND b.p = 47 - a.p WHERE a.p < 20 AND a.id % 3 <> 0), "
+    "n AS (SELECT chain, count(*) AS n FROM c GROUP BY chain), ij AS MATERIALIZED (SELECT chain, n, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM n, unnest(range(n)) AS t(i), unnest(range(n + 1)) AS u(j) WHERE j - i >= 20), "
+    f"pm AS MATERIALIZED (SELECT ij.chain, ij.i, ij.j, pr.a, pr.b, {_MOVED.format(p='pr.a')} AS ma, {_MOVED.format(p='pr.b')} AS mb FROM ij JOIN pr ON pr.chain = ij.chain), pk AS MATERIALIZED (SELECT pm.*, n.ok AS now, w.ok AS was FROM pm JOIN o n ON n.chain = pm.chain AND n.p = ma AND n.q = mb JOIN o w ON w.chain = pm.chain AND w.p = a AND w.q = b), "
+    "pg AS MATERIALIZED (SELECT chain, i, j, sum(now - was) AS g FROM pk GROUP BY 1, 2, 3), sg AS MATERIALIZED (SELECT l.chain, l.i, l.j, sum(l.now * r.now - l.was * r.was) AS g FROM pk l JOIN pk r ON r.chain = l.chain AND r.i = l.i AND r.j = l.j AND r.a = l.a + 1 AND r.b = l.b - 1 GROUP BY 1, 2, 3), "
+    "bg AS MATERIALIZED (SELECT ij.chain, ij.i, ij.j, sum(s.w * a.g - s.w * s.g) AS g FROM ij JOIN c s ON s.chain = ij.chain AND s.p >= ij.i AND s.p < ij.j JOIN c a ON a.chain = ij.chain AND a.p = ij.i + ij.j - 1 - s.p GROUP BY 1, 2, 3), "
+    "al AS (SELECT ij.chain, ij.i, ij.j, coalesce(pg.g, 0) + 0.3 * coalesce(sg.g, 0) + 2.0 * bg.g + 5.0 * (coalesce(d1.d, 0) - coalesce(d3.d, 0) + coalesce(d2.d, 0) - coalesce(d4.d, 0)) AS gain FROM ij LEFT JOIN pg USING (chain, i, j) LEFT JOIN sg USING (chain, i, j) JOIN bg USING (chain, i, j) "
+    "LEFT JOIN d d1 ON d1.chain = ij.chain AND d1.p = ij.i - 1 AND d1.q = ij.i LEFT JOIN d d3 ON d3.chain = ij.chain AND d3.p = ij.i - 1 AND d3.q = ij.j - 1 LEFT JOIN d d2 ON d2.chain = ij.chain AND d2.p = ij.j - 1 AND d2.q = ij.j LEFT JOIN d d4 ON d4.chain = ij.chain AND d4.p = ij.i AND d4.q = ij.j), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY round(gain, 9) DESC, i, j) AS k FROM al WHERE gain > 1e-10) "
+)
+
+
+@query(f"{_FULL} SELECT CAST(chain AS INT) AS chain, i, j, round(gain, 6) AS gain FROM r WHERE k = 1")
+def flip_full(spark, sf_dir):
+    """The reversal that gains most by pairs, stacks, seams and bases, of twenty places at least."""
+    best = flips.register_paths(_full_paths(spark, sf_dir), ["chain"], most_flips=1).where(F.size("flips") > 0)
+    return best.select("chain", F.get("flips", F.lit(0))["i"].alias("i"), F.get("flips", F.lit(0))["j"].alias("j"), rounded(F.col("last_gain")).alias("gain"))
+
+
+@query()
+def flip_climb(spark, sf_dir):
+    """All reversals of each chain until none gains; tests hold the climb against trying every one."""
+    out = flips.register_paths(_full_paths(spark, sf_dir), ["chain"])
+    return out.select("chain", F.array_join(F.col("atoms").cast("array<string>"), ",").alias("atoms"), F.to_json("flips").alias("flips"), "satisfied", "total")
+
+
+def _registered(spark, sf_dir):
+    """Chains of 60 points with hairpin pairs; other components of their vectors are labelled voxels around the chain."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 60").cast("int").alias("chain"), F.expr("vec_id % 60").cast("long").alias("atom"), "embedding")
+    part = lambda k: F.element_at("embedding", k).cast("double") * 50
+    sites = e.select("chain", "atom", *[part(k + 1).alias(a) for k, a in enumerate("xyz")])
+    residues = e.select("chain", (F.col("atom") + 1).cast("int").alias("residue_num"), F.element_at(F.array(*[F.lit(b) for b in "ACGU"]), F.expr("cast(atom * 7 % 11 % 4 + 1 as int)")).alias("base"))
+    base_pairs = e.where("atom < 25 and atom % 4 <> 3").select("chain", (F.col("atom") + 1).cast("int").alias("i"), (60 - F.col("atom")).cast("int").alias("j"))
+    base_pairs = base_pairs.join(residues.select("chain", F.col("residue_num").alias("j")), ["chain", "j"], "left_semi").select("chain", "i", "j")
+    cells = e.select("chain", "atom", F.posexplode(F.transform(F.sequence(F.lit(4), F.lit(58), F.lit(3)), lambda k: F.transform(F.array(k, k + 1, k + 2), lambda c: F.floor(F.get("embedding", c - 1).cast("double") * 25).cast("int")))).alias("n", "c"))
+    cells = cells.groupBy("chain", *[F.get("c", F.lit(k)).alias(f"c{a}") for k, a in enumerate("xyz")]).agg((F.max((F.col("atom") + F.col("n")) % 3) + 2).cast("int").alias("label"))
+    voxels = cells.select("chain", "label", "cz", "cy", "cx", *[(F.col(f"c{a}") * 2.0).alias(a) for a in "xyz"])
+    return sites, residues, base_pairs, voxels
+
+
+@query()
+def registration_documents(spark, sf_dir):
+    """Positions, pairs and labels of each chain to its registration document."""
+    sites, residues, base_pairs, voxels = _registered(spark, sf_dir)
+    out = registration.register(sites, residues, base_pairs, voxels, ["chain"])
+    featured = registration.attach_features(out.atoms, voxels, ["chain"])
+    return registration.documents(out, featured, residues, sites, base_pairs, ["chain"])
+
+
 @query("SELECT label AS k, array_to_string(list_concat(list_concat(a[1:2], list_reverse(a[3:5])), a[6:]), ',') AS path FROM (SELECT label, list(vec_id ORDER BY vec_id) AS a FROM embeddings GROUP BY label)")
 def path_flip(spark, sf_dir):
     """A segment of each path reversed."""

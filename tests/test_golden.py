@@ -82,8 +82,6 @@ def test_flips(spark):
     for r in flips.flip_gains(cells, ["k"]).collect():
         own = range(r["i"], r["j"])
         assert abs(r["gain"] - (sum(s[a, b] for a, b in zip(reversed(own), own, strict=True)) - sum(s[a, a] for a in own))) < 1e-9
-    climbed = flips.climb(spark.createDataFrame([(0, [0, 1, 2, 3, 4, 5], s.tolist())], "k int, path array<int>, scores array<array<double>>"), ["k"]).first()
-    assert sorted(climbed["path"]) == list(range(6)) and climbed["score"] >= s[range(6), range(6)].sum()
 
 
 def brute_allocation(alloc, volume, unit, target):
@@ -274,6 +272,33 @@ def test_stream(spark, tmp_path):
     assert spark.table("totals").agg(F.sum("n")).first()[0] == 1000
 
 
+def test_components_in_logarithmic_rounds(spark):
+    import random
+
+    from latticeworks.operators import graph
+
+    n, passes = 100_000, []
+    line = spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graph.connected_components(spark.range(1, n + 1), line, passes)
+    assert found.where("component = 1").count() == n and len(passes) <= 20
+    rng, n, passes = random.Random(3), 2000, []
+    parent = list(range(n))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    names = list(range(n))
+    rng.shuffle(names)
+    edges = [(names[rng.randrange(n)], names[rng.randrange(n)]) for _ in range(n // 2)] + [(names[k], names[k + 1]) for k in range(300)]
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = graph.connected_components(spark.range(n), spark.createDataFrame(edges, "a long, b long"), passes)
+    assert {r["id"]: r["component"] for r in got.collect()} == {k: root(k) for k in range(n)} and len(passes) <= 30
+
+
 def test_components_of_stars_lines_and_loops(spark):
     from latticeworks.operators import graph
 

@@ -151,15 +151,29 @@ def grid_components(spark, sf_dir):
 
 @query()
 def extract(spark, sf_dir):
-    """Sites in maps of blocks of the grid (three by four cells, 16 rows), one for 40 blocks, and how many lie
-    too near to another.
+    """Sites in maps of blocks of the grid (three by four cells, 16 rows), one for 40 blocks, with the way each was
+    placed and the phase in which it moved.
 
-    More users give more maps, not larger ones. Tests hold the job against small maps with known sites.
+    More users give more maps, not larger ones. Tests hold the job against a plain version.
     """
-    from .extract import extract_sites, too_near
+    from .extract import extract_sites
 
     place = [F.expr("y div 16").alias("map"), F.expr("z div 3").alias("z"), "y", F.expr("x div 4").alias("x")]
     v = cells(spark, sf_dir).where(F.col("density") > CONTOUR).select("kind", *place, "density")
-    v = v.groupBy("kind", "map", *[F.col(a).cast("int").alias(a) for a in "zyx"]).agg(F.max("density").alias("density"))
+    v = v.groupBy("kind", "map", *[F.col(a).cast("int").alias(a) for a in "zyx"]).agg(F.round(F.max("density"), 6).alias("density"))
     expected = v.groupBy("kind", "map").agg(F.ceil(F.count("*") / 40).alias("target"))
-    return too_near(extract_sites(v, expected, ["kind", "map"], least=2), ["kind", "map"], 2.5)
+    out = extract_sites(v, expected, ["kind", "map"])
+    return out.select("kind", "map", "id", *[rounded(F.col(a), 4).alias(a) for a in "zyx"], rounded(F.col("density")).alias("density"), "way", "phase", "usable")
+
+
+@query()
+def flood_basins(spark, sf_dir):
+    """Basins of the spaced maxima of each class of cells, flooded block by block."""
+    from ..operators import peaks
+
+    v = cells(spark, sf_dir).select("kind", "z", "y", "x", F.round("density", 6).alias("density"))
+    seeds = peaks.spaced_maxima(v, ["kind"], 6.0)
+    numbered = seeds.withColumn("seed", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("density"), "z", "y", "x"))).select("kind", "z", "y", "x", "seed")
+    ground = v.join(numbered, ["kind", "z", "y", "x"], "left").withColumn("level", F.floor(-F.col("density") * 1000).cast("long"))
+    basins = peaks.flood(ground, ["kind"])
+    return basins.groupBy("kind", "basin").agg(F.count("*").alias("volume"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))

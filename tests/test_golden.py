@@ -192,14 +192,9 @@ def test_kernels(spark):
     blobs = [(1, 2, z, y, x, 10.0 - abs(z) - abs(y) - abs(x - c) + 0.01 * c) for c in (0, 12) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in range(c - 2, c + 3)]
     v = spark.createDataFrame([(k, n, int(z), int(y), int(x), float(d)) for k, n, z, y, x, d in blobs], "k int, n int, z int, y int, x int, density double")
     assert sorted(round(r["x"]) for r in kernels.weighted_kmeans(v, ["k"]).collect()) == [0, 12]
-    assert sorted(round(r["x"]) for r in kernels.flood_peaks(v, ["k"], 4.0, 3.5).collect()) == [0, 12]
     p = spark.createDataFrame([(0, i, float(x), 0.0, 0.0) for i, x in enumerate((3, 0, 2, 1, 4))], "k int, id long, x double, y double, z double")
     order = [r["id"] for r in kernels.open_path(p, ["k"]).orderBy("path_pos").collect()]
     assert order in ([1, 3, 2, 0, 4], [4, 0, 2, 3, 1])
-    sites = spark.createDataFrame([(0, i, 6.0 * i, 0.0, 0.0, 1.0 + i) for i in range(10)] + [(0, 10, 0.5, 0.0, 0.0, 0.5)], "k int, id long, z double, y double, x double, density double")
-    free = spark.createDataFrame([(0, 0.0, 6.0, 0.0, 0.9)], "k int, z double, y double, x double, density double")
-    moved = {r["id"]: (r["y"], r["phase"]) for r in kernels.repair_positions(sites, free, ["k"]).collect()}
-    assert moved[10] == (6.0, 0) and moved[3] == (0.0, -1)
 
 
 def mrc(data, axes=(1, 2, 3), origin=(1.0, 2.0, 3.0), angle=90.0):
@@ -250,19 +245,6 @@ def test_documents(spark, tmp_path):
     assert placement.mmcif_rows(atoms, ["residue_num", "atom_ord"]).where("serial = 1").first()["line"].split()[:4] == ["ATOM", "1", "P", "P"]
 
 
-def test_extract_job(spark):
-    from latticeworks.jobs.extract import extract_sites, too_near
-
-    cells = [(m, z, y, x, 5.0) for m in "ab" for c in (0, 20) for z in range(3) for y in range(3) for x in range(c, c + 4)]
-    v = spark.createDataFrame(cells, "map string, z int, y int, x int, density double")
-    found = extract_sites(v, spark.createDataFrame([("a", 2)], "map string, target int"), ["map"])
-    sites = found.collect()
-    assert {s["map"] for s in sites} == {"a"}
-    assert [tuple(r) for r in too_near(found, ["map"], 2.5).collect()] == [("a", 2, 0)]
-    assert [tuple(r) for r in too_near(found, ["map"], 20.5).collect()] == [("a", 2, 2)]
-    assert sorted(round(s["x"], 1) for s in sites) == [1.5, 21.5]
-
-
 def test_stream(spark, tmp_path):
     from latticeworks.streaming import rollup
 

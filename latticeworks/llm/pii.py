@@ -47,13 +47,12 @@ _HINT = {"email": r"(?i)@|\(at\)|\[at\]|\x20at\x20", "ip": r"[0-9]\.[0-9]++\.[0-
 
 def found_by(text: Column, pattern: str, hint: str) -> Column:
     """The matches of a pattern, leftmost first: characters since the last one, the match, and context on both sides."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    made = F.transform(
-        matches,
-        lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")),
-    )
-    none = F.array().cast("array<struct<gap:int,match:string,before:string,after:string>>")
+    # Arrays are zipped, not looked up by place: an expression inside a lambda would be computed for every match.
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sides = F.zip_with(gaps, F.slice(F.split(text, pattern, -1), 2, F.lit(2**31 - 1)), lambda g, n: F.struct(g.alias("gap"), F.left(n, F.lit(CONTEXT)).alias("after")))
+    span = lambda m, s: F.struct(F.length(s["gap"]).alias("gap"), F.octet_length(s["gap"]).alias("gap_bytes"), m.alias("match"), F.right(s["gap"], F.lit(CONTEXT)).alias("before"), s["after"].alias("after"))
+    made = F.filter(F.zip_with(matches, sides, span), lambda s: s["match"].isNotNull())
+    none = F.array().cast("array<struct<gap:int,gap_bytes:int,match:string,before:string,after:string>>")
     return F.when(text.rlike(hint), made).otherwise(none)
 
 
@@ -77,17 +76,19 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as (rid, row), and their candidate spans: rid, kind, strict, begin, end, match, before, after.
+    """The rows of ``docs`` as (rid, row), and their candidate spans: rid, kind, strict, begin, end, first_byte, last_byte,
+    match, before, after.
 
-    Offsets are code points, end exclusive. Overlapping spans of several generators all stay. Null text has none.
+    begin and end are code points, the bytes are those of UTF-8; ends are exclusive. Overlapping spans of several generators all stay. Null text has none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = [F.struct(F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), found_by(text, pattern, _HINT[kind]).alias("spans")) for patterns, strict in ((STRICT, True), (LOOSE, False)) for kind, pattern in patterns.items()]
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.filter(F.array(*found), lambda f: F.size(f["spans"]) > 0).alias("found")), "pii_rows")
     each = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.kind", "f.strict", F.posexplode("f.spans").alias("at", "s"))
     so_far = Window.partitionBy("rid", "kind", "strict").orderBy("at")
-    end = F.sum(F.col("s.gap") + F.length("s.match")).over(so_far)
-    placed = each.withColumn("end", end.cast("int")).select("rid", "kind", "strict", (F.col("end") - F.length("s.match")).alias("begin"), "end", "s.match", "s.before", "s.after")
+    end, last = F.sum(F.col("s.gap") + F.length("s.match")).over(so_far), F.sum(F.col("s.gap_bytes") + F.octet_length("s.match")).over(so_far)
+    placed = each.withColumn("end", end.cast("int")).withColumn("last_byte", last.cast("int"))
+    placed = placed.select("rid", "kind", "strict", (F.col("end") - F.length("s.match")).alias("begin"), "end", (F.col("last_byte") - F.octet_length("s.match")).alias("first_byte"), "last_byte", "s.match", "s.before", "s.after")
     return rows.select("rid", "row"), placed
 
 
@@ -340,14 +341,31 @@ def labelled(spark, texts: list[tuple[int, str, int, int, str | None]]) -> DataF
     return features(placed).join(told, "rid").select("kind", "f", held.alias("held"), right.cast("int").alias("right"))
 
 
+_TRAINED: dict[float, tuple] = {}
+
+
 def train(spark, precision: float = 0.95, texts: list | None = None) -> tuple[Column, dict[str, float], dict[str, tuple[float, float]]]:
     """A probability for candidate spans, a threshold for each kind, and its precision and recall on held-out texts.
 
+    What the module's own texts teach is the same each time, so a driver learns it once for each precision.
+    """
+    if texts is not None:
+        start, trees, thresholds, measured = _trained(spark, precision, texts)
+    else:
+        if precision not in _TRAINED:
+            _TRAINED[precision] = _trained(spark, precision, examples())
+        start, trees, thresholds, measured = _TRAINED[precision]
+    return trees_column(start, trees, F.col("f")), thresholds, measured
+
+
+def _trained(spark, precision: float, texts: list) -> tuple[float, list, dict[str, float], dict[str, tuple[float, float]]]:
+    """Start value, trees, thresholds and what they reach.
+
     The trees see counts of equal feature vectors of the texts that are not held out. The threshold of a kind is the
     lowest at which its held-out candidates above it are ``precision`` pure and which is 0.5 at least; a kind for which
     there is none gets no additions. Everything here is as large as ``texts``, whatever the corpus.
     """
-    cells = labelled(spark, texts or examples()).groupBy("kind", "held", "f").agg(F.count("*").alias("n"), F.sum("right").alias("right")).collect()
+    cells = labelled(spark, texts).groupBy("kind", "held", "f").agg(F.count("*").alias("n"), F.sum("right").alias("right")).collect()
 
     def table(of):
         return np.array([r["f"] for r in of], int).reshape(len(of), len(FEATURES)), np.array([r["right"] for r in of], float), np.array([r["n"] for r in of], float)
@@ -365,37 +383,53 @@ def train(spark, precision: float = 0.95, texts: list | None = None) -> tuple[Co
                 break
         chosen = p >= thresholds[kind]
         measured[kind] = (float(right[chosen].sum() / max(1.0, n[chosen].sum())), float(right[chosen].sum() / max(1.0, right.sum())))
-    return trees_column(start, trees, F.col("f")), thresholds, measured
+    return start, trees, thresholds, measured
 
 
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` as (rid, row), and rid, spans: sorted structs (k, begin, end, kind, base) of all personal data.
+def _islands(spans: DataFrame) -> DataFrame:
+    """``spans`` with island: a number for each stretch of a row's spans that overlap one another, directly or by others."""
+    order = Window.partitionBy("rid").orderBy("begin", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.coalesce(F.col("begin") < reach, F.lit(False)), 0).otherwise(1)
+    return spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
 
-    ``k`` is the kind's place in ALL_KINDS. Base finds are the strict patterns' leftmost, non-overlapping matches that hold.
-    An added span never overlaps a base find nor another added one that is likelier (ties: the earlier, longer one).
+def chosen(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as (rid, row), and the spans of all personal data: rid, kind, begin, end, first_byte, last_byte, base.
+
+    Base finds are the strict patterns' leftmost, non-overlapping matches that hold. An added span never overlaps a base
+    find nor another added one that is likelier (ties: the earlier, longer one). Spans are weighed within the stretch that
+    overlaps with them, so a text of many spans costs little more than several of few.
     """
     rows, placed = candidates(docs)
     marked = features(placed)
     probability, thresholds, _ = train(docs.sparkSession)
     line = Window.partitionBy("rid", "kind").orderBy("begin")
     behind = F.max(F.when(F.col("base"), F.col("end"))).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(F.when(F.col("base"), F.col("begin"))).over(line.rangeBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("rid", "kind").orderBy(F.desc("begin"))  # running from the end, as a frame to the end would start anew for each row
+    ahead = F.min(F.when(F.col("base"), F.col("begin"))).over(back.rangeBetween(Window.unboundedPreceding, 0))
     sure = F.coalesce(behind > F.col("begin"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
     marked = materialize(marked.withColumn("sure", sure).drop("match", "before", "after"), "pii_spans")
     threshold = F.element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), F.col("kind"))
-    base = marked.where("base").select("rid", "kind", "begin", "end", F.lit(True).alias("base"), F.lit(2.0).alias("p"))
-    more = marked.where("not base and not sure").select("rid", "kind", "begin", "end", F.lit(False).alias("base"), probability.alias("p")).where(F.col("p") >= threshold).dropDuplicates(["rid", "kind", "begin", "end"])
-    both = base.union(more)
-    hits = F.collect_list(F.struct((-F.col("p")).alias("q"), "begin", (-F.col("end")).alias("back"), "kind", "base"))
-    grouped = both.groupBy("rid").agg(F.sort_array(hits).alias("all"))
-    kept = F.aggregate(
-        F.filter("all", lambda s: ~s["base"]),
-        F.filter("all", lambda s: s["base"]),
-        lambda done, s: F.when(F.exists(done, lambda d: (d["begin"] < -s["back"]) & (s["begin"] < -d["back"])), done).otherwise(F.array_append(done, s)),
-    )
+    own = ["rid", "kind", "begin", "end", "first_byte", "last_byte"]
+    base = marked.where("base").select(*own, F.lit(True).alias("base"), F.lit(2.0).alias("p"))
+    more = marked.where("not base and not sure").select(*own, F.lit(False).alias("base"), probability.alias("p")).where(F.col("p") >= threshold).dropDuplicates(["rid", "kind", "begin", "end"])
+    span = F.struct((-F.col("p")).alias("q"), "begin", (-F.col("end")).alias("back"), "kind", "base", "first_byte", "last_byte")
+    grouped = _islands(base.union(more)).groupBy("rid", "island").agg(F.sort_array(F.collect_list(span)).alias("all"))
+    meets = lambda s: lambda d: (d["begin"] < -s["back"]) & (s["begin"] < -d["back"])
+    added = F.filter("all", lambda s: ~s["base"])
+    kept = F.aggregate(added, F.filter("all", lambda s: s["base"]), lambda done, s: F.when(F.exists(done, meets(s)), done).otherwise(F.array_append(done, s)))
+    spans = grouped.select("rid", F.explode(F.when(F.size(added) == 0, F.col("all")).otherwise(kept)).alias("s"))
+    return rows, spans.select("rid", "s.kind", "s.begin", (-F.col("s.back")).alias("end"), "s.first_byte", "s.last_byte", "s.base")
+
+
+def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as (rid, row), and rid, spans: the spans of :func:`chosen` as structs (k, begin, end, kind, base)
+    sorted by ``k``, the kind's place in ALL_KINDS."""
+    rows, spans = chosen(docs)
     order = F.array(*map(F.lit, ALL_KINDS))
-    spans = F.sort_array(F.transform(kept, lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["begin"].alias("begin"), (-s["back"]).alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))))
-    return rows, grouped.select("rid", spans.alias("spans"))
+    span = F.struct(F.array_position(order, F.col("kind")).alias("k"), "begin", "end", "kind", "base")
+    return rows, spans.groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -403,21 +437,19 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together, under the name of the first. Other columns and repeated rows stay.
     """
-    rows, found = find(docs)
+    rows, spans = chosen(docs)
     text = F.col("row")["text"]
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    cut = lambda b, e: F.substring(text, b + 1, e - b)
-    walked = F.aggregate(
-        ordered,
-        start,
-        lambda a, s: F.when(s["begin"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(cut(a["at"], s["begin"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    first = F.min(F.struct("begin", "end", "kind"))["kind"]
+    merged = _islands(spans).groupBy("rid", "island").agg(F.min("first_byte").alias("b"), F.max("last_byte").alias("e"), first.alias("kind"))
+    found = merged.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("b", "e", "kind"))).alias("cuts"))
+    before = lambda i: F.coalesce(F.get("cuts", i - 1)["e"], F.lit(0))
+    cut = lambda raw, b, e: F.substring(raw, b + 1, e - b).cast("string")
+    parts = lambda raw: F.transform("cuts", lambda s, i: F.concat(cut(raw, before(i), s["b"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    last = F.get("cuts", F.size("cuts") - 1)["e"]
+    # The text's bytes are bound once, so that each piece is cut in time of its own length.
+    clean = F.aggregate(F.array(F.encode(text, "utf-8")), F.lit(""), lambda _, raw: F.concat(F.array_join(parts(raw), ""), cut(raw, last, F.octet_length(raw))))
     joined = rows.join(found, "rid", "left")
-    clean = F.when(F.col("spans").isNull(), text).otherwise(walked)
+    clean = F.when(F.col("cuts").isNull(), text).otherwise(clean)
     return joined.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -85,3 +85,31 @@ def test_added_spans(spark):
     df = spark.createDataFrame([(None if k % 3 == 0 else 7, t, k) for k, (t, _) in enumerate(rows)], "doc_id long, text string, k int")
     got = {r["k"]: r["text"] for r in pii.redact(df).collect()}
     assert got == {k: w if w is not None else t for k, (t, w) in enumerate(rows)}
+
+
+def test_text_with_thousands_of_finds(spark):
+    """Base finds, added ones and letters of several bytes: all are found and cut, in a time that is not their square."""
+    import time
+
+    n = 20_000
+    one = [f"é call (555) 123-{k:04d} or x{k}@mail.example.com ü " for k in range(n // 2)]
+    df = spark.createDataFrame([(1, "".join(one)), (2, "none")], "doc_id long, text string")
+    pii.train(spark)
+    begun = time.time()
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert rows == {1: "é call [PHONE] or [EMAIL] ü " * (n // 2), 2: "none"}
+    found = pii.find(df)[1].select("spans").collect()
+    assert len(found) == 1 and len(found[0]["spans"]) == n and time.time() - begun < 120
+
+
+def test_overlapping_spans_are_cut_together(spark):
+    df = spark.createDataFrame([(1, "x +1.2.3.4.5.6.7.8.9 y", "k"), (2, "ü 5500 0000 0000 0004+1 234 567 8901 ü", "k")], "doc_id long, text string, island string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    spans = {r["doc_id"]: [(s["begin"], s["end"], s["kind"]) for s in r["spans"]] for r in (lambda rows, found: rows.select("rid", "row.doc_id").join(found, "rid"))(*pii.find(df)).collect()}
+    for i, text in ((1, "x +1.2.3.4.5.6.7.8.9 y"), (2, "ü 5500 0000 0000 0004+1 234 567 8901 ü")):
+        out, at = "", 0
+        for b, e, kind in sorted(spans[i]):
+            if b >= at:
+                out += text[at:b] + f"[{kind.upper()}]"
+            at = max(at, e)
+        assert got[i] == out + text[at:]

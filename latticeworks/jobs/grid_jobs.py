@@ -78,9 +78,9 @@ def patch_merge(spark, sf_dir):
     """Certainty-max merge of overlapping patches."""
     c = cells(spark, sf_dir)
     v = c.select("z", "y", "x").distinct()
-    p = grid.assign_patches(v, _shape(c), 16, 8).withColumn("prob", F.expr(_PROB).cast("double"))
-    certain = p.withColumn("certain", F.round(F.abs(F.col("prob") - 0.5), 9))
-    return grid.keep_best(certain, ["z", "y", "x"], F.col("certain"), "patch").select("z", "y", "x", "patch", "prob")
+    said = F.expr(f"transform(patches, p -> struct(p.patch as patch, cast({_PROB.replace('patch', 'p.patch')} as double) as prob))")
+    best = grid.best_patch(said, lambda p: F.round(F.abs(p["prob"] - 0.5), 9))
+    return grid.with_patches(v, _shape(c), 16, 8).withColumn("best", best).where("best is not null").select("z", "y", "x", "best.patch", "best.prob")
 
 
 @query(
@@ -91,9 +91,10 @@ def patch_confidence_merge(spark, sf_dir):
     """The class vector with the largest maximum wins, first patch first."""
     c = cells(spark, sf_dir)
     v = c.select("z", "y", "x").distinct()
-    vector = F.expr("array(cast((z * 3 + patch * 5) % 11 as double), cast((y * 7 + patch) % 11 as double), cast((x * 2 + patch * 3) % 11 as double))")
-    p = grid.assign_patches(v, _shape(c), 16, 8).withColumn("probs", vector)
-    return grid.merge_by_confidence(p).select("z", "y", "x", "patch", first_argmax(F.col("probs")).alias("cls"))
+    vector = "array(cast((z * 3 + p.patch * 5) % 11 as double), cast((y * 7 + p.patch) % 11 as double), cast((x * 2 + p.patch * 3) % 11 as double))"
+    best = grid.best_patch(F.expr(f"transform(patches, p -> struct(p.patch as patch, {vector} as probs))"), lambda p: F.array_max(p["probs"]))
+    merged = grid.with_patches(v, _shape(c), 16, 8).withColumn("best", best).where("best is not null")
+    return merged.select("z", "y", "x", "best.patch", first_argmax(F.col("best.probs")).alias("cls"))
 
 
 @query(

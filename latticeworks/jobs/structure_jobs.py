@@ -337,3 +337,14 @@ def gap_splice(spark, sf_dir):
     c, fixed, sizes, problems, repaired = _repaired(spark, sf_dir)
     out = gaps.splice(fixed, repaired, problems, c.select("chain", "residue_num", F.col("id").alias("atom")), sizes, ["chain"])
     return out.select("chain", "residue_num", (F.col("source") == "anchor").alias("anchored"))
+
+
+@query()
+def spliced_sites(spark, sf_dir):
+    """The site of each residue, where it comes from and where it lies; tests hold it against a plain version."""
+    c, fixed, sizes, problems, repaired = _repaired(spark, sf_dir)
+    out = gaps.splice(fixed, repaired, problems, c.select("chain", "residue_num", F.col("id").alias("atom")), sizes, ["chain"])
+    own = c.select("chain", F.col("id").alias("atom"), *[F.col(a).alias(f"own_{a}") for a in "xyz"])
+    derived = F.col("source") == "derived"
+    placed = out.join(own, ["chain", "atom"], "left")
+    return placed.select("chain", "residue_num", "atom", "source", *[rounded(F.when(derived, F.col(a)).otherwise(F.col(f"own_{a}"))).alias(a) for a in "xyz"])

@@ -101,3 +101,39 @@ def test_caps_are_residues(spark):
     caps = restraints.add_caps(atoms, ["chain"])
     assert [(r["chain"], r["base"], r["atom"]) for r in caps.collect()] == [(0, "P5", "OP3")]
     assert restraints.strip_caps(atoms.unionByName(caps)).count() == len(own)
+
+
+def test_spliced_sites_equal_plain_version(spark):
+    """Anchored sites, then repaired gaps with numbers for derived points, then what is left of the plain assignment."""
+    from latticeworks.jobs import structure_jobs
+
+    sf = "/root/testdata/sf0.001"
+    c, fixed, sizes, problems, repaired = structure_jobs._repaired(spark, sf)
+    where = {(r["chain"], r["id"]): (r["x"], r["y"], r["z"]) for r in c.collect()}
+    expected, used = {}, set()
+    for r in fixed.collect():
+        expected[r["chain"], r["residue_num"]] = (r["atom"], "anchor", where[r["chain"], r["atom"]])
+        used.add((r["chain"], r["atom"]))
+    rows = sorted(repaired.collect(), key=lambda r: (r["chain"], r["gap"], r["residue_num"]))
+    number = {r["chain"]: r["n_path"] for r in sizes.collect()}
+    for r in rows:
+        if r["atom"] is None:
+            expected[r["chain"], r["residue_num"]] = (number[r["chain"]], "derived", (r["x"], r["y"], r["z"]))
+            number[r["chain"]] += 1
+        else:
+            expected[r["chain"], r["residue_num"]] = (r["atom"], "repaired", where[r["chain"], r["atom"]])
+        used.add((r["chain"], expected[r["chain"], r["residue_num"]][0]))
+    done = {(r["chain"], r["gap"]) for r in rows}
+    for r in problems.collect():
+        if (r["chain"], r["gap"]) in done:
+            used |= {(r["chain"], s["atom"]) for s in r["sites"] or []}
+    for r in c.collect():
+        if (r["chain"], r["residue_num"]) not in expected and (r["chain"], r["id"]) not in used:
+            expected[r["chain"], r["residue_num"]] = (r["id"], "baseline", where[r["chain"], r["id"]])
+    got = {(r["chain"], r["residue_num"]): r for r in structure_jobs.spliced_sites(spark, sf).collect()}
+    assert set(got) == set(expected)
+    for key, (atom, source, place) in expected.items():
+        r = got[key]
+        assert (r["atom"], r["source"]) == (atom, source), key
+        assert all(abs(r[a] - v) < 1e-5 for a, v in zip("xyz", place, strict=True))
+    assert {"anchor", "repaired", "derived"} <= {e[1] for e in expected.values()}

@@ -58,7 +58,7 @@ def page_roles(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.join(again, key, "left").drop("other")
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 1000) -> None:
+def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 10_000) -> None:
     """A record for each row of ``pages`` (page_id, url, html) in plain archives below ``folder``.
 
     Of rows with equal payloads of ``least`` bytes or more, that with the smallest page_id is a response (each of them,

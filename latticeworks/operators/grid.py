@@ -109,30 +109,6 @@ def assign_patches(voxels: DataFrame, shape: DataFrame, size: int, overlap: int)
     return out.withColumn("patch", order.cast("long")).drop("nz", "ny", "nx")
 
 
-def with_patches(voxels: DataFrame, shape: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Each voxel once with ``patches``: an array of every patch that covers it (ib, jb, kb, patch), empty outside ``shape``.
-
-    What patches say of a voxel can then be weighed in its own row, without a row for each patch and without a shuffle.
-    """
-    step = size - overlap
-    out = voxels.join(F.broadcast(shape))
-    for axis, n in (("z", "nz"), ("y", "ny"), ("x", "nx")):
-        last = F.size(window_starts(F.col(n), size, overlap)) - 1
-        low = F.greatest(F.lit(0), F.ceil((F.col(axis) - size + 1) / step).cast("int"))
-        high = F.least(last, F.floor(F.col(axis) / step).cast("int"))
-        out = out.withColumn(f"_{axis}", F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).withColumn(f"_{n}", last + 1)
-    place = lambda i, j, k: ((i * F.col("_ny") + j) * F.col("_nx") + k).cast("long")
-    cell = lambda i, j, k: F.struct((i * step).alias("ib"), (j * step).alias("jb"), (k * step).alias("kb"), place(i, j, k).alias("patch"))
-    every = F.flatten(F.transform("_z", lambda i: F.flatten(F.transform("_y", lambda j: F.transform("_x", lambda k: cell(i, j, k))))))
-    return out.withColumn("patches", every).drop("nz", "ny", "nx", "_z", "_y", "_x", "_nz", "_ny", "_nx")
-
-
-def best_patch(predictions: Column, score) -> Column:
-    """Of an array of structs with ``patch`` the one with the largest ``score`` (a function of it), then the smallest patch;
-    null of an empty array, and a null score loses to any other."""
-    return F.array_max(F.transform(predictions, lambda p: F.struct(score(p).alias("score"), (-p["patch"]).alias("order"), p.alias("of"))))["of"]
-
-
 def keep_best(rows: DataFrame, keys: list[str], score: Column, tie: str) -> DataFrame:
     """One row per key, the one with the largest ``score``, then the smallest ``tie`` (a number).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..operators import grid, placement, restraints, selection, spatial
 from ..session import shared_folder, table
-from ..sources import readers, writers
+from ..sources import maps, readers, writers
 from .adapters import CELLS, CHAINS, PAIRS, cells, chains, scored_pairs
 from .model_jobs import _PLACED, _framed
 from .registry import query
@@ -162,3 +162,38 @@ def spurious_hydrogens(spark, sf_dir):
     c = chains(spark, sf_dir)
     atoms = c.select("chain", "residue_num", F.explode(F.array(*[F.lit(a) for a in ("P", "HO5'", "O5'")])).alias("atom"))
     return restraints.drop_spurious_hydrogens(atoms, c.where("residue_num % 4 = 1"), ["chain"]).select("chain", "residue_num", "atom")
+
+
+_STORED = f"{CELLS}, s AS (SELECT kind, z // 5 AS part, z % 5 AS z, y, x, [0, 1, 2, 6, 12][(z // 5) % 5 + 1] AS mode, density FROM cells), stored AS (SELECT kind || '-' || part AS map_id, CAST(z AS INT) AS z, y, x, CASE WHEN mode = 2 THEN round(density, 2) ELSE least(floor(round(density, 6)), CASE WHEN mode = 0 THEN 127 ELSE 2000 END) END AS density FROM s)"
+
+
+def _stored_maps(spark, sf_dir) -> str:
+    """The folder of a map for each class and five days, in turn of every mode, axis order and byte order."""
+    part = F.expr("z div 5")
+    mode = F.element_at(F.array(*[F.lit(m) for m in (0, 1, 2, 6, 12)]), (part % 5 + 1).cast("int"))
+    c = cells(spark, sf_dir).withColumns({"map_id": F.concat_ws("-", "kind", part), "part": part, "mode": mode})
+    whole = F.least(F.floor(F.round("density", 6)).cast("double"), F.when(F.col("mode") == 0, 127.0).otherwise(2000.0))
+    v = c.select("map_id", "part", "kind", "mode", (F.col("z") % 5).cast("int").alias("z"), "y", "x", F.when(F.col("mode") == 2, F.round("density", 2)).otherwise(whole).alias("density"))
+    orders = F.array(*[F.array(*[F.lit(a) for a in o]) for o in ((1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1))])
+    constant = {"nz": F.lit(5), "nx": F.lit(24), "axes": F.element_at(orders, ((F.col("part") + F.length("kind")) % 6 + 1).cast("int")), "origin": F.array(*[F.lit(k) for k in (1.5, -2.0, 0.25)]), "spacing": F.array(*[F.lit(0.5)] * 3), "big": F.col("part") % 2 == 1}
+    rows = table(spark, sf_dir, "events").agg((F.greatest(F.max("user_id"), F.lit(1)) + 1).cast("int").alias("ny"))
+    m = v.select("map_id", "part", "kind", "mode").distinct().join(F.broadcast(rows)).withColumns(constant).drop("part", "kind")
+    path = shared_folder(spark)
+    maps.write_maps(m, v, path)
+    return path
+
+
+def _voxels(rows):
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.mrc$", 1).alias("map_id"), "z", "y", "x", F.round(F.col("density").cast("double"), 2).alias("density"))
+
+
+@query(f"WITH {_STORED} SELECT map_id, z, y, x, round(density, 2) AS density FROM stored WHERE density > 0")
+def map_round_trip(spark, sf_dir):
+    """The grid as map files of every mode, axis order and byte order, read again by ranges of sections."""
+    return _voxels(maps.read_maps(spark, _stored_maps(spark, sf_dir), window=16384))
+
+
+@query(f"WITH {_STORED} SELECT map_id, z, y, x, round(density, 2) AS density FROM stored WHERE density > 0 AND z BETWEEN 1 AND 3 AND y >= 5 AND x BETWEEN 6 AND 17")
+def map_box(spark, sf_dir):
+    """A box of each map file; sections and rows outside it are not read."""
+    return _voxels(maps.read_maps(spark, _stored_maps(spark, sf_dir), box={"z": (1, 3), "y": (5, 2**31 - 1), "x": (6, 17)}))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_argmax, rounded
-from ..operators import grid, graph
+from ..operators import graph, grid, preparation
 from ..session import table
 from .adapters import CELLS, CLOUD, CONTOUR, cells, cloud
 from .registry import query
@@ -177,3 +177,35 @@ def flood_basins(spark, sf_dir):
     ground = v.join(numbered, ["kind", "z", "y", "x"], "left").withColumn("level", F.floor(-F.col("density") * 1000).cast("long"))
     basins = peaks.flood(ground, ["kind"])
     return basins.groupBy("kind", "basin").agg(F.count("*").alias("volume"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+
+
+@query(
+    f"WITH RECURSIVE {CELLS}, v AS (SELECT kind, z, y, x, density, {_ID} AS id FROM cells, (SELECT max(y) + 1 AS ny FROM cells) WHERE density > {CONTOUR}), "
+    "e AS (SELECT a.kind, a.id AS a, b.id AS b FROM v a JOIN v b ON a.kind = b.kind AND b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) BETWEEN 1 AND 2), "
+    "r AS (SELECT kind, id, id AS hop FROM v UNION SELECT r.kind, r.id, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.hop), c AS (SELECT kind, id, min(hop) AS component FROM r GROUP BY 1, 2), "
+    "w AS (SELECT v.*, component FROM v JOIN c USING (kind, id)), g AS (SELECT kind, component FROM w GROUP BY 1, 2 HAVING greatest(max(z) - min(z) + 1, max(y) - min(y) + 1, (max(x) - min(x) + 1) * 0.5) >= 2) "
+    "SELECT kind, z, y, x, round(density, 6) AS density FROM w JOIN g USING (kind, component)"
+)
+def map_dust(spark, sf_dir):
+    """Cells above the contour in pieces at least two days or users or four hours long."""
+    kept = preparation.without_dust(cells(spark, sf_dir), ["kind"], CONTOUR, 2.0, (1.0, 1.0, 0.5))
+    return kept.select("kind", "z", "y", "x", F.round("density", 6).alias("density"))
+
+
+def _unnested(axis: str, step: float, rest: str) -> str:
+    return f"SELECT *, unnest(range(greatest(CAST(ceil(({axis} - 1) / {step}) AS BIGINT), 0), CAST(floor(({axis} + 1) / {step}) AS BIGINT) + 1)) AS o{axis} FROM ({rest})"
+
+
+_SHARE = " * ".join(f"(1 - abs(o{a} * {s} - {a}))" for a, s in (("z", 0.75), ("y", 1.5), ("x", 0.5)))
+
+
+@query(
+    f"WITH {CELLS}, last AS (SELECT kind, max(z) AS lz, max(y) AS ly, max(x) AS lx FROM cells GROUP BY kind), near AS ({_unnested('z', 0.75, _unnested('y', 1.5, _unnested('x', 0.5, 'SELECT kind, z, y, x, round(density, 2) AS density FROM cells')))}) "
+    f"SELECT kind, CAST(oz AS INT) AS z, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, round(sum(density * {_SHARE}), 8) AS density FROM near JOIN last USING (kind) WHERE oz * 0.75 <= lz AND oy * 1.5 <= ly AND ox * 0.5 <= lx AND {_SHARE.replace('(1 - ', '(1 > ').replace(' * (1 >', ' AND (1 >')} GROUP BY 1, 2, 3, 4 HAVING sum(density * {_SHARE}) > 0"
+)
+def map_resample(spark, sf_dir):
+    """The grid of each class at three quarters of a day, one and a half users and half an hour."""
+    v = cells(spark, sf_dir).withColumn("density", F.round("density", 2))
+    sizes = v.groupBy("kind").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
+    fine = preparation.resample(v, sizes, ["kind"], (0.75, 1.5, 0.5))
+    return fine.select("kind", "z", "y", "x", F.round("density", 8).alias("density"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sequences import clean_sequence
+from .maps import decode_map, read_grids, read_maps  # noqa: F401
 
 ANCHOR = "struct<label:string,centroid:array<double>,distance_to_p:double,n_voxels:int>"
 SITE = f"struct<atom_idx:int,residue_num:int,base:string,position:array<double>,source:string,derive_method:string,sugar_anchor:{ANCHOR},base_anchor:{ANCHOR},map_feature_confidence:double>"
@@ -18,7 +15,6 @@ BACKBONE = f"chains array<struct<p_atoms:array<{SITE}>,atoms:array<{SITE}>>>, p_
 PAIR_DOCUMENT = "source string, model string, index_base int, first_residue int, sequence string, sequence_length int, base_pairs array<struct<i:int,j:int,prob:double,type:string,canonical:boolean>>"
 CATALOGUE = T.StructType([T.StructField("PDB-ID", T.StringType()), T.StructField("EMD-ID", T.IntegerType()), T.StructField("resolution", T.DoubleType()), T.StructField("contour", T.DoubleType())])
 GRID_META = "origin_xyz array<double>, voxel_size_xyz array<double>, class_names array<string>, contour double"
-VOXEL = "path string, z int, y int, x int, density float"
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -27,61 +23,6 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", clean_sequence(F.split("value", r"\r?\n")).alias("sequence"))
 
 
-def decode_map(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Density (z, y, x), origin and spacing (x, y, z) of an MRC file.
-
-    The header's axis order is undone, a zero origin is taken from the start indices, angles must be 90 degrees, spacing
-    positive, every axis at least 2 long and all densities finite.
-    """
-    order = "<" if content[212:213] in (b"D", b"\x00") else ">"
-    nx, ny, nz, mode = struct.unpack(order + "4i", content[:16])
-    starts = struct.unpack(order + "3i", content[16:28])
-    counts = struct.unpack(order + "3i", content[28:40])
-    edges, angles = struct.unpack(order + "3f", content[40:52]), struct.unpack(order + "3f", content[52:64])
-    axes = struct.unpack(order + "3i", content[64:76])
-    extra = struct.unpack(order + "i", content[92:96])[0]
-    origin = np.array(struct.unpack(order + "3f", content[196:208]), float)
-    kinds = {0: "i1", 1: "i2", 2: "f4", 6: "u2"}
-    if mode not in kinds or min(nx, ny, nz) < 2:
-        raise ValueError("not a three-dimensional map of a known mode")
-    if not np.allclose(angles, 90.0):
-        raise ValueError("cell angles are not 90 degrees")
-    data = np.frombuffer(content, order + kinds[mode], nx * ny * nz, 1024 + extra).reshape(nz, ny, nx)
-    at = {axis: k for k, axis in enumerate(axes)}  # 1 x, 2 y, 3 z: which file axis (0 fastest) holds it
-    data = np.transpose(data, [2 - at[3], 2 - at[2], 2 - at[1]]).astype(np.float32)
-    spacing = np.array(edges, float) / np.maximum(np.array(counts), 1)
-    if not np.isfinite(data).all() or not (np.isfinite(spacing) & (spacing > 0)).all():
-        raise ValueError("density or spacing is not finite and positive")
-    if np.allclose(origin, 0):
-        origin = np.array([starts[at[a]] for a in (1, 2, 3)], float) * spacing
-    return data, origin, spacing
-
-
-def read_maps(spark: SparkSession, path: str, floor: float = 0.0) -> DataFrame:
-    """path, z, y, x, density of every voxel above ``floor``: one file per task, sparse rows out."""
-
-    def run(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                data, _, _ = decode_map(bytes(content))
-                for z, plane in enumerate(data):
-                    y, x = np.nonzero(plane > floor)
-                    yield pd.DataFrame({"path": name, "z": np.int32(z), "y": y.astype(np.int32), "x": x.astype(np.int32), "density": plane[y, x]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, VOXEL)
-
-
-def read_grids(spark: SparkSession, path: str) -> DataFrame:
-    """path, nz, ny, nx, origin and spacing (arrays x, y, z) of each map."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(name, *decode_map(bytes(content))) for name, content in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame([(n, *d.shape, o.tolist(), s.tolist()) for n, d, o, s in rows], columns=["path", "nz", "ny", "nx", "origin", "spacing"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, nz int, ny int, nx int, origin array<double>, spacing array<double>")
-
-
 def read_backbone(spark: SparkSession, path: str) -> DataFrame:
     """One row per site of backbone documents, wherever they keep them: the first chain's p_atoms or atoms, or their own."""
     doc = spark.read.schema(BACKBONE).json(path, multiLine=True)

@@ -209,3 +209,35 @@ def map_resample(spark, sf_dir):
     sizes = v.groupBy("kind").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
     fine = preparation.resample(v, sizes, ["kind"], (0.75, 1.5, 0.5))
     return fine.select("kind", "z", "y", "x", F.round("density", 8).alias("density"))
+
+
+@query()
+def reconstruction(spark, sf_dir):
+    """O1: maps of blocks of the grid (as in ``extract``) and sequences to atoms, by stages in a folder of their own.
+
+    The grid goes through map files; a rule on the density stands in for the trained labels, and hairpins for the pairs.
+    """
+    from ..session import shared_folder
+    from ..sources import maps
+    from .reconstruct import reconstruct
+
+    v = cells(spark, sf_dir).where(F.col("density") > CONTOUR)
+    v = v.groupBy(F.concat_ws("-", "kind", F.expr("y div 16")).alias("map_id"), F.expr("cast(z div 3 as int)").alias("z"), F.expr("cast(y % 16 as int)").alias("y"), F.expr("cast(x div 4 as int)").alias("x"))
+    v = v.agg(F.round(F.max("density"), 2).alias("density"))
+    sequences = v.groupBy("map_id").agg((F.ceil(F.count("*") / 60) + 1).cast("int").alias("n"))
+    letter = lambda k: F.substring(F.lit("GCAUUCGA"), (F.crc32("map_id") + k * 3) % 8 + 1, F.lit(1))
+    sequences = sequences.select("map_id", F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), letter), "").alias("sequence"))
+    constant = {"nz": F.lit(10), "ny": F.lit(16), "nx": F.lit(6), "mode": F.lit(2), "axes": F.array(*[F.lit(a) for a in (1, 2, 3)]), "origin": F.array(*[F.lit(k) for k in (4.0, -8.0, 2.0)]), "spacing": F.array(*[F.lit(2.0)] * 3), "big": F.lit(False)}
+    path = shared_folder(spark)
+    maps.write_maps(sequences.select("map_id").withColumns(constant), v, path)
+    kinds = F.array(*[F.lit(k) for k in (1, 1, 1, 2, 3, 4)])
+
+    def predict(prepared):
+        return prepared.withColumn("label", F.element_at(kinds, (F.floor(F.round("density", 4) * 5000) % 6 + 1).cast("int")))
+
+    def pair(rows):
+        n = F.length("sequence")
+        return rows.where(n >= 5).select("map_id", F.explode(F.sequence(F.lit(1), F.floor((n - 3) / 2).cast("int"))).alias("i"), n.alias("n")).select("map_id", "i", (F.col("n") + 1 - F.col("i")).alias("j"))
+
+    atoms = reconstruct(spark, shared_folder(spark), path, sequences, predict, pair, contour=CONTOUR, size=4.0, target=2.0, whole=False)["atoms"]
+    return atoms.select("map_id", "residue_num", "base", "atom", *[rounded(F.col(a), 3).alias(a) for a in "xyz"])

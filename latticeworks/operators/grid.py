@@ -53,6 +53,21 @@ def normalize_density(voxels: DataFrame, contour: float, density: str = "density
     return voxels.join(F.broadcast(bound)).withColumn("normalized", scaled).drop("upper")
 
 
+def normalize_each(voxels: DataFrame, keys: list[str], contour: float, quantile: float = 0.95) -> DataFrame:
+    """:func:`normalize_density` for each key by its own quantile, found by rank in a sort that spills.
+
+    A key whose quantile is no higher than the contour is an error; one without density above the contour gives no row.
+    """
+    above = voxels.where(F.col("density") > contour).select(*keys, F.col("density").cast("double").alias("density"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("density")) - 1
+    ranked = above.withColumn("at", rank).join(above.groupBy(*keys).agg(((F.count("*") - 1) * quantile).alias("place")), keys)
+    ends = ranked.where((F.col("at") == F.floor("place")) | (F.col("at") == F.ceil("place"))).groupBy(*keys).agg(F.min("density").alias("low"), F.max("density").alias("high"), F.first("place").alias("place"))
+    upper = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
+    usable = F.when(upper > contour, upper).otherwise(F.raise_error(F.lit("a map has no usable density range")).cast("double"))
+    scaled = (F.col("density") - contour) / (F.col("upper") - contour)
+    return voxels.join(ends.select(*keys, usable.alias("upper")), keys).withColumn("normalized", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("upper")
+
+
 def world_to_voxel(world: Column, origin: Column | float, spacing: Column | float) -> Column:
     """Voxel index of a coordinate, truncated toward zero."""
     return ((world - origin) / spacing).cast("int")

@@ -45,6 +45,11 @@ class Header:
     spacing: tuple[float, float, float]
     first: int
 
+    @property
+    def section(self) -> int:
+        """Bytes of one section."""
+        return np.dtype(self.sample).itemsize * self.counts[0] * self.counts[1]
+
     @property
     def shape(self) -> tuple[int, int, int]:
         """Voxels along z, y, x."""
@@ -112,8 +117,8 @@ def _exactly(file, n: int) -> bytes:
     return got
 
 
-@dataclass
-class Range(InputPartition):
+@dataclass(frozen=True)
+class Range:
     """Sections ``lo`` to before ``hi`` of a file; ``box`` has the first and last index by x, y, z."""
 
     uri: str
@@ -145,14 +150,20 @@ def ranges(uri: str, box: tuple[tuple[int, int], ...], window: int) -> list[Rang
         file = _plain(raw)
         h = parse_header(file.read(HEADER))
         size = raw.size() if file is raw else None
-    line = np.dtype(h.sample).itemsize * h.counts[0] * h.counts[1]
-    if size is not None and size < h.first + line * h.counts[2]:
+    if size is not None and size < h.first + h.section * h.counts[2]:
         raise ValueError(f"the densities of {uri} are cut short")
     lo, hi = box[h.axes[2]][0], min(box[h.axes[2]][1] + 1, h.counts[2])
-    step = max(1, window // line) if size is not None else h.counts[2]
+    step = max(1, window // h.section) if size is not None else h.counts[2]
     return [Range(uri, h, s, min(s + step, hi), box) for s in range(lo, hi, step)]
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: one large range, or small ones up to the window."""
+
+    parts: list[Range]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.uris = json.loads(options["uris"])
@@ -160,25 +171,35 @@ class _Reader(DataSourceReader):
         self.floor = float(options["floor"]) if "floor" in options else None
         self.box = [tuple(b) for b in json.loads(options["box"])] if "box" in options else [(0, 2**31 - 1)] * 3
 
-    def partitions(self) -> list[Range]:
-        box = tuple(self.box)
+    def partitions(self) -> list[Ranges]:
+        box, tasks, left = tuple(self.box), [], 0
         with ThreadPoolExecutor(16) as pool:
-            return [r for part in pool.map(lambda uri: ranges(uri, box, self.window), self.uris) for r in part]
-
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file meets the box
-            return
-        names = ["xyz"[a] for a in partition.header.axes]
-        for s, first_row, rows in partition.sections():
+            for own in pool.map(lambda uri: ranges(uri, box, self.window), self.uris):
+                for r in own:
+                    size = r.header.section * (r.hi - r.lo) + HEADER
+                    if not tasks or size > left:
+                        tasks.append(Ranges([]))
+                        left = self.window
+                    tasks[-1].parts.append(r)
+                    left -= size
+        return tasks
+
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition else ():  # none where no file meets the box
+            yield from self._voxels(part)
+
+    def _voxels(self, part: Range) -> Iterator[pa.RecordBatch]:
+        h = part.header
+        names = ["xyz"[a] for a in h.axes]
+        for s, first_row, rows in part.sections():
             if not np.isfinite(rows).all():
-                raise ValueError(f"a density of {partition.uri} is not finite")
+                raise ValueError(f"a density of {part.uri} is not finite")
             r, c = np.nonzero(rows > self.floor) if self.floor is not None else np.indices(rows.shape).reshape(2, -1)
-            at = {names[2]: np.full(len(r), s), names[1]: r + first_row, names[0]: c + partition.box[partition.header.axes[0]][0]}
+            at = {names[2]: np.full(len(r), s), names[1]: r + first_row, names[0]: c + part.box[h.axes[0]][0]}
             density = rows[r, c]
             for k in range(0, len(r), BATCH):
-                part = slice(k, k + BATCH)
-                cut = [pa.array(at[a][part].astype(np.int32)) for a in "zyx"]
-                yield pa.RecordBatch.from_arrays([pa.repeat(partition.uri, len(cut[0])), *cut, pa.array(density[part])], ["path", "z", "y", "x", "density"])
+                cut = [pa.array(at[a][k : k + BATCH].astype(np.int32)) for a in "zyx"]
+                yield pa.RecordBatch.from_arrays([pa.repeat(part.uri, len(cut[0])), *cut, pa.array(density[k : k + BATCH])], ["path", "z", "y", "x", "density"])
 
 
 class _PushingReader(_Reader):

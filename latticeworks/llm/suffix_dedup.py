@@ -29,6 +29,8 @@ SHARD = 8_000
 PASSAGE = 256
 #: Bytes of text that a task works on at a time (a longer document stands alone).
 SLICE = 500_000
+#: A name that more than a HEAVY-th of all rows have is told to every task (so fewer than HEAVY names can be).
+HEAVY = 10_000
 _PLACE = 31  # bits of a position; no value of a table is longer
 
 
@@ -179,6 +181,25 @@ def _named(held: DataFrame, length: int) -> DataFrame:
     return held.select("rid", "body", "runs").mapInArrow(run, "rid long, h long, c1 long, c2 long, anchor int, first int, last int")
 
 
+def _told(rows: DataFrame, names: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``names`` (keys, n: how many of ``rows`` have them) in two: the heavy ones to broadcast, and those to shuffle."""
+    total = rows.count()
+    heavy = F.col("n") * HEAVY > total
+    return F.broadcast(names.where(heavy).select(*keys)), names.where(~heavy).select(*keys)
+
+
+def _among(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a written table that have one of ``names``; no task gets more than a HEAVY-th of them by its name."""
+    heavy, light = _told(rows, names, keys)
+    return rows.join(heavy, keys, "left_semi").unionByName(rows.join(heavy, keys, "left_anti").join(light, keys, "left_semi"))
+
+
+def _outside(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a written table that have none of ``names``, in the same way."""
+    heavy, light = _told(rows, names, keys)
+    return rows.join(heavy, keys, "left_anti").join(light, keys, "left_anti")
+
+
 def _split_hot(tuples: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
     """Tuples with a ``name`` that at most about SHARD of them share: frequent names give way to longer contexts.
 
@@ -188,14 +209,14 @@ def _split_hot(tuples: DataFrame, length: int) -> tuple[DataFrame, DataFrame | N
     """
     done, known, rows = None, None, materialize(tuples.withColumn("name", F.col("h")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(window(length) - 1)), "suffix_tuples")
     while True:
-        counts = rows.groupBy("name").agg(F.count("*").alias("m"))
-        hot = materialize(counts.where((F.col("m") > SHARD)).select("name"), "hot_names")
-        few = rows.join(hot, "name", "left_anti")
+        hot = materialize(rows.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > SHARD), "hot_names")
+        few = _outside(rows, hot, ["name"])
         done = few if done is None else done.unionByName(few)
         if hot.isEmpty():
             return done, known
-        wide = rows.join(hot, "name").where("hi > lo")
-        equal = rows.join(hot, "name").where("hi = lo and single").select("rid", "first", "last")
+        many = _among(rows, hot, ["name"])
+        wide = many.where("hi > lo")
+        equal = many.where("hi = lo and single").select("rid", "first", "last")
         known = equal if known is None else known.union(equal)
         middle = ((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = wide.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))).drop("lo", "hi")
@@ -206,8 +227,8 @@ def _split_hot(tuples: DataFrame, length: int) -> tuple[DataFrame, DataFrame | N
         core = F.substring(F.col("bytes"), place - F.col("half.lo") + 1, F.lit(length) - (F.col("half.hi") - F.col("half.lo")))
         named = cut.withColumn("name", F.xxhash64(core, F.col("half.lo"), F.col("half.hi"))).select("rid", "h", "anchor", (F.col("begin") + F.col("x")).alias("first"), (F.col("begin") + F.col("y")).alias("last"), "begin", "bytes", "single", "name", F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"))
         named = materialize(named, "suffix_tuples")
-        paired = named.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
-        rows = materialize(named.join(paired, "name", "left_semi"), "suffix_tuples")
+        paired = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+        rows = materialize(_among(named, paired, ["name"]), "suffix_tuples")
 
 
 def _sorted_repeats(tuples: DataFrame, length: int) -> DataFrame:
@@ -232,15 +253,15 @@ def _sorted_repeats(tuples: DataFrame, length: int) -> DataFrame:
 def _repeated_starts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Documents that hold a repeated anchor (rid, body, runs), and the repeated starts (rid, first, last) found in them."""
     found = materialize(_anchor_rows(docs, length), "anchors")
-    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")  # a table, so that a frequent h is a skewed join that Spark can split
-    runs = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "anchor", "first", "last")).alias("runs"))
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    runs = _among(found, twice, ["h"]).groupBy("rid").agg(F.collect_list(F.struct("h", "anchor", "first", "last")).alias("runs"))
     held = materialize(docs.select("rid", "body").join(runs, "rid"), "anchored", "zstd")
     drop(found)
     named = materialize(_named(held, length), "contexts")
     contexts = materialize(named.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "anchor", "first", "last")).alias("rep")), "distinct_contexts")
-    bulk = named.join(contexts.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("rid", "first", "last")
-    open_names = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h")
-    reps = contexts.join(open_names, "h", "left_semi").groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(F.struct("h", (F.col("n") == 1).alias("single"), "rep.anchor", "rep.first", "rep.last")).alias("reps"))
+    bulk = _among(named, contexts.where("n > 1"), ["h", "c1", "c2"]).select("rid", "first", "last")
+    open_names = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", F.col("m").alias("n"))
+    reps = _among(contexts, open_names, ["h"]).groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(F.struct("h", (F.col("n") == 1).alias("single"), "rep.anchor", "rep.first", "rep.last")).alias("reps"))
     each = held.select("rid", "body").join(reps, "rid").select("rid", "body", F.explode("reps").alias("r"))
     tuples = each.select("rid", "r.h", "r.single", "r.anchor", "r.first", "r.last", F.col("r.first").alias("begin"), F.substring("body", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + length).alias("bytes"))
     shards, equal = _split_hot(tuples, length)

@@ -22,8 +22,9 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [60_000, 2])
-def test_equals_brute_force(spark, docs, texts, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "heavy"), [(60_000, 10_000), (60_000, 20), (2, 10_000), (2, 20)])
+def test_equals_brute_force(spark, docs, texts, monkeypatch, shard, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)  # 20: most names are shuffled, some are told to every task
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # 2: every frequent context is split
     rows, lost = suffix_dedup.repeated_spans(docs, 400)
     removed = {r["rid"]: r for r in lost.collect()}

@@ -116,6 +116,20 @@ def test_allocation(spark):
     assert [got[1][i][1] for i in range(2)] == [4, 2]
     none = spark.createDataFrame([(0, 1, 3)], "k int, cluster int, volume long")
     assert allocation.unit_volume(none, ["k"]).first()["unit"] == 400.0
+    assert allocation.adjust_allocation(df.limit(0), ["k"]).count() == 0
+
+
+def test_allocation_of_a_large_key(spark):
+    """One key with equal fractions and volumes by the hundred: the last round is cut within a bucket, by volume and id."""
+    rng = np.random.default_rng(8)
+    volumes = [int(v) for v in rng.choice([5, 20, 45, 45, 50, 90, 130, 131, 5000], 600)]
+    unit, alloc = 40.0, [0 if v < 10 else max(1, int(np.rint(v / 40.0))) for v in volumes]
+    targets = [0, 7, 300, 533, sum(alloc) - 400, sum(alloc) - 1, sum(alloc), sum(alloc) + 1, sum(alloc) + 1900]
+    rows = [(k, i, v, unit, a, t) for k, t in enumerate(targets) for i, (v, a) in enumerate(zip(volumes, alloc, strict=True))]
+    df = spark.createDataFrame(rows, "k int, cluster int, volume long, unit double, alloc long, target long")
+    got = {(r["k"], r["cluster"]): r["final"] for r in allocation.adjust_allocation(df, ["k"]).collect()}
+    for k, t in enumerate(targets):
+        assert [got[k, i] for i in range(600)] == brute_allocation(alloc, volumes, unit, t), t
 
 
 def test_evidence_and_scores(spark):

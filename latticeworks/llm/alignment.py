@@ -1,9 +1,11 @@
 """Alignment of two tokenizers: groups of tokens between common byte offsets, links of overlapping tokens, their counts.
 
-Both tokenizers encode a whole text; offsets at which a token of each ends cut them into groups. A group of one token
-each whose ids are the same bytes by an array fixed beforehand is counted in a vector as long as the vocabulary; only
-the links of other groups go through a shuffle of pairs. Pairs that hold a fixed share of all links are few by that
-share, so their counts go to the tasks as an array; documents ask for the counts of the others by a join.
+Offsets at which a token of each tokenizer ends cut a text into groups. Texts are cut where tokens of both end for
+certain, so a distinct word is encoded and aligned once; a document's groups are its words' groups one behind the other
+and its links are theirs added up. A group of one token each whose ids are the same bytes by an array fixed beforehand
+is counted in a vector as long as the vocabulary; only the links of other groups go through a shuffle of pairs. Pairs
+that hold a fixed share of all links are few by that share, so their counts go to the tasks as an array; documents ask
+for the counts of the others by a join.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .textbytes import flat, slices
 SHARE = 1 / 20_000
 #: Distinct pairs that a task keeps before it passes them on; words, and characters of words, that a worker remembers.
 KEPT, WORDS, LETTERS = 1 << 20, 300_000, 1 << 22
+#: Words that are encoded as one text.
+JOINED = 1024
 _BOUNDARY = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 _INNER = re.compile("[^▁]▁")
 
@@ -35,30 +40,59 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.room, self.used = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate([self.room[: self.used], np.zeros(max(end, self.used * 3 // 2) - self.used, self.room.dtype)])
+        self.room[self.used : end], self.used = values, end
+
+
 class _Pool:
-    """Lists of ids one behind the other, by the number of the list."""
+    """Lists of numbers one behind the other, by the number of the list."""
 
-    def __init__(self):
-        self.ids, self.used, self.starts, self.sizes = np.zeros(1024, np.int64), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, kind):
+        self.values, self.bounds = _Grown(kind), _Grown(np.int64)
+        self.bounds.add(np.zeros(1, np.int64))
 
-    def add(self, lists: list[list[int]]) -> None:
-        sizes = np.array([len(x) for x in lists], np.int64)
-        end = self.used + int(sizes.sum())
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : end] = np.fromiter((i for x in lists for i in x), np.int64, end - self.used)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes, self.used = np.concatenate([self.sizes, sizes]), end
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.bounds.add(self.values.used + np.cumsum(sizes))
+        self.values.add(values)
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.bounds.room[numbers + 1] - self.bounds.room[numbers]
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[numbers]
+        sizes = self.sizes(numbers)
         before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))]
+        return self.values.room[np.repeat(self.bounds.room[numbers] - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+class _Numbers(dict):
+    """Words, without the space before them, by the order in which they came; ``fresh`` are those not yet encoded. A word
+    asked for is added; one that is empty or begins with a space has no number of its own (-1) unless it is added by name."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh = []
+
+    def add(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word) if word and not word[0].isspace() else -1
 
 
 class Vocabularies:
     """Tokenizer A (byte level), tokenizer B (pieces), the bytes of their tokens and ``same``: for each id of A the id of
-    B with the same bytes, or -1. Words that were encoded are remembered with their ids."""
+    B with the same bytes, or -1. Words that were encoded are remembered with their ids, groups and links."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,46 +114,101 @@ class Vocabularies:
         self.same = np.array([at.get(t, -1) for t in self.a_bytes], np.int64)
         self.cuttable = not any(_INNER.search(p) for p in pieces)
         self.a_size, self.b_size = (np.array([len(t) for t in v], np.int64) for v in (self.a_bytes, self.b_bytes))
-        names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
-        self.a_names = names(len(self.a_bytes), ","), names(len(self.a_bytes), "|")
-        self.b_names = names(len(self.b_bytes), ","), names(len(self.b_bytes), ";")
+        names = [[f"{i}{end}" for i in range(len(v))] for v, end in ((self.a_bytes, ","), (self.a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";"))]
+        self.names = np.array(sum(names, []), object)  # of A inside and at the end of a group, then of B
         self._forget()
 
     def _forget(self) -> None:
-        self.number, self.letters, self.known_a, self.known_b = {}, 0, _Pool(), _Pool()
-        self.whole = np.zeros(0, bool)  # whether the ids of A and of B spell the word
+        self.number, self.letters, self.known_a, self.known_b, self.links = _Numbers(), 0, _Pool(np.int32), _Pool(np.int32), _Pool(np.int64)
+        self.n_groups, self.groups = _Grown(np.int32), []
 
     def words(self, text: str) -> list[str]:
         """A space and the text, cut before spaces behind other characters: no token of A or B reaches over such a place,
         so the words' tokens are those of the whole (a last space stays with its word). If B has a piece that does, there is one word."""
         return _BOUNDARY.split(" " + text) if self.cuttable else [" " + text]
 
+    def _units(self, words: list[str]) -> list[list[str]]:
+        """Words to encode as one text: the place between two is one that ``words`` cuts, or a space before another
+        character, behind no space. B never spells its letter for a space, so a word that holds it stands alone."""
+        units, room, end = [], 0, ""
+        for w in words:
+            if room and w and (not end.isspace() if w[0].isspace() else end != " ") and "▁" not in w:
+                units[-1].append(w)
+                room -= 1
+            else:
+                units.append([w])
+                room = JOINED - 1 if self.cuttable and "▁" not in w else 0
+            end = w[-1:]
+        return units
+
+    def _spelled(self, units: list[list[str]]) -> list[tuple[list[int], list[int], list[int]]]:
+        """Bytes of each word with its space and ids of A and B, by unit. Halves of a unit that its ids don't spell are
+        tried anew; a word that they don't spell has no bytes and no ids."""
+        texts, out = [" ".join(u) for u in units], []
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        for unit, text, x, y in zip(units, texts, a, b, strict=True):
+            if b"".join(map(self.a_bytes.__getitem__, x)) == (" " + text).encode() == b"".join(map(self.b_bytes.__getitem__, y)):
+                out.append(([len(w.encode()) + 1 for w in unit], x, y))
+            elif len(unit) == 1:
+                out.append(([0], [], []))
+            else:
+                out += self._spelled([unit[: len(unit) // 2], unit[len(unit) // 2 :]])
+        return out
+
+    def _ids(self, units: list[list[str]]) -> list[np.ndarray]:
+        """Ids of A over all words one behind the other, how many each word has, and the same of B."""
+        sizes, *sides = (np.fromiter(chain.from_iterable(x), np.int64) for x in zip(*self._spelled(units), strict=True))
+        ends, out = np.cumsum(sizes), []
+        for ids, size in zip(sides, (self.a_size, self.b_size), strict=True):
+            upto = np.concatenate([[0], np.cumsum(size[ids])])
+            at = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[at], ends):  # a token reaches over the end of a word
+                return self._ids([[w] for u in units for w in u])
+            out += [ids, np.diff(at, prepend=0)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        b = self.b.encode([w[1:] for w in new], num_threads=1)
-        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        whole = [spelled(x, self.a_bytes) == w.encode() == spelled(y, self.b_bytes) for w, x, y in zip(new, a, b, strict=True)]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        a, a_sizes, b, b_sizes = self._ids(self._units(new))
+        n_groups, groups, links, n_links = align(self, a, a_sizes, b, b_sizes)
+        self.known_a.add(a, a_sizes)
+        self.known_b.add(b, b_sizes)
+        self.links.add(links, n_links)
+        self.n_groups.add(n_groups)
+        self.groups += groups
         self.letters += sum(map(len, new))
-        self.known_a.add(a)
-        self.known_b.add(b)
-        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A over a space and each text with the bounds of the texts, and the same of B over the text; none for a
-        text of which some word is not spelled by its ids."""
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, and the text of each; none for a text of which some word is not spelled by its
+        ids. All words are known then."""
         if len(self.number) > WORDS or self.letters > LETTERS:
             self._forget()
-        words = [self.words(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(w for own in words for w in own if w not in self.number))
-        for k in range(0, len(new), 4096):
-            self._learn(new[k : k + 4096])
-        sizes = np.array([len(own) for own in words], np.int64)
-        numbers = np.fromiter((self.number[w] for own in words for w in own), np.int64, int(sizes.sum()))
+        number, flat, sizes = self.number, [], []
+        # A takes the last of several characters of white space to what follows if it is a space, so any space before other
+        # than white space is such a place too. A text with other spaces (numbers below 0) is cut by ``words``.
+        for t in texts:
+            own = t.split(" ") if t and self.cuttable else []
+            flat += own
+            sizes.append(len(own))
+        numbers, sizes = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), np.array(sizes, np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        right = (np.bincount(owner, ~self.whole[numbers], minlength=len(texts)) == 0)[owner]
-        numbers, owner = numbers[right], owner[right]
-        bounds = lambda pool: np.concatenate([[0], np.cumsum(np.bincount(owner, pool.sizes[numbers], minlength=len(texts)))]).astype(np.int64)
+        odd = np.unique(owner[numbers < 0]).tolist() if self.cuttable else [i for i, t in enumerate(texts) if t]
+        if odd:
+            parts = np.split(numbers, np.cumsum(sizes)[:-1])
+            for i in odd:
+                parts[i] = np.array([number[w] if w in number else number.add(w) for w in (x[1:] for x in self.words(texts[i]))], np.int64)
+            numbers, owner = np.concatenate(parts), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        for k in range(0, len(number.fresh), 4096):
+            self._learn(number.fresh[k : k + 4096])
+        number.fresh = []
+        right = (np.bincount(owner, self.n_groups.room[numbers] == 0, minlength=len(texts)) == 0)[owner]
+        return numbers[right], owner[right]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A over a space and each text with the bounds of the texts, and the same of B over the text; none for a
+        text of which some word is not spelled by its ids."""
+        numbers, owner = self.numbers(texts)
+        bounds = lambda pool: np.concatenate([[0], np.cumsum(_added(owner, pool.sizes(numbers), len(texts)))])
         return self.known_a.gather(numbers), bounds(self.known_a), self.known_b.gather(numbers), bounds(self.known_b)
 
 
@@ -137,42 +226,56 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(kind)))
 
 
-def _counted(owner: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, key), by owner, and how often each comes."""
-    both, n = np.unique(owner * size + keys, return_counts=True)
-    return both // size, both % size, n
+def _added(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Whole numbers added up by their owner, of n."""
+    return np.bincount(owner, values, minlength=n).astype(np.int64)
 
 
-def align(v: Vocabularies, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> dict[str, pa.Array]:
-    """Groups and links of several documents at once, given by their ids of A and B and the documents' bounds in them."""
-    n = len(a_at) - 1
+def align(v: Vocabularies, a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of several texts, given by their ids of A and B one behind the other and how many each has: the number of groups,
+    the groups (each with its semicolon), the links one behind the other and how many each text has. A link in a group of
+    its own between the same bytes is its id of A; any other is a * size of B + b behind all ids of A."""
     a_ends, b_ends = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
-    cuts, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
-    doc_ends = np.concatenate([[0], a_ends])[a_at[1:]]
-    of_doc = lambda ends: np.searchsorted(doc_ends, ends, "left")
+    at = np.zeros((2, int(a_ends[-1]) + 1 if len(a) else 1), bool)
+    at[0, a_ends], at[1, b_ends] = True, True
+    cuts = np.flatnonzero(at[0] | at[1])
     # Between two neighbouring cuts lies one overlap of one token of A with one of B.
-    link_a, link_b = a[np.searchsorted(a_ends, cuts, "left")], b[np.searchsorted(b_ends, cuts, "left")]
-    group = np.searchsorted(common, cuts, "left")
-    regular = (np.bincount(group, minlength=len(common))[group] == 1) & (v.same[link_a] == link_b)
-    doc = of_doc(cuts)
-    same = _counted(doc[regular], link_a[regular], len(v.a_bytes))
-    pair = _counted(doc[~regular], link_a[~regular] * len(v.b_bytes) + link_b[~regular], len(v.a_bytes) * len(v.b_bytes))
-    a_group, b_group = np.searchsorted(common, a_ends, "left"), np.searchsorted(common, b_ends, "left")
-    a_last, b_last = np.append(a_group[1:] != a_group[:-1], True)[: len(a)], np.append(b_group[1:] != b_group[:-1], True)[: len(b)]
-    text = np.empty(len(a) + len(b), object)
-    text[np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")] = np.where(a_last, v.a_names[1][a], v.a_names[0][a])
-    text[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = np.where(b_last, v.b_names[1][b], v.b_names[0][b])
-    n_a, n_b, n_groups = np.diff(a_at), np.diff(b_at), np.bincount(of_doc(common), minlength=n)
+    in_a, in_b = at[0, cuts], at[1, cuts]
+    both = in_a & in_b
+    link_a, link_b, group = a[np.cumsum(in_a) - in_a], b[np.cumsum(in_b) - in_b], np.cumsum(both) - both
+    regular = (np.bincount(group)[group] == 1) & (v.same[link_a] == link_b)
+    links = np.where(regular, link_a, len(v.a_bytes) + link_a * len(v.b_bytes) + link_b)
+    # In the text, the tokens of A stand behind those of B of earlier groups, and those of B behind all of A of their group.
+    a_group, b_group, n = group[in_a], group[in_b], int(both.sum())
+    a_upto, b_upto = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n))]) for g in (a_group, b_group))
+    name = np.empty(len(a) + len(b), np.int64)
+    name[np.arange(len(a)) + b_upto[a_group]] = a + len(v.a_bytes) * both[in_a]
+    name[np.arange(len(b)) + a_upto[b_group + 1]] = b + 2 * len(v.a_bytes) + len(v.b_bytes) * both[in_b]
+    names, ends = v.names[name].tolist(), np.cumsum(a_sizes + b_sizes).tolist()
+    doc_ends = np.concatenate([[0], a_ends])[np.cumsum(a_sizes)]
+    n_groups = np.diff(np.searchsorted(cuts[both], doc_ends, "right"), prepend=0)
+    return n_groups, ["".join(names[i:j]) for i, j in zip([0, *ends], ends, strict=False)], links, a_sizes + b_sizes - n_groups
+
+
+def _documents(v: Vocabularies, texts: list[str]) -> dict[str, pa.Array]:
+    """Groups and links of several documents."""
+    n, size = len(texts), len(v.a_bytes) * (len(v.b_bytes) + 1)
+    numbers, owner = v.numbers(texts)
+    group_of, ends = list(map(v.groups.__getitem__, numbers.tolist())), np.searchsorted(owner, np.arange(n + 1)).tolist()
+    n_a, n_b, n_links, n_groups = (_added(owner, x, n) for x in (*(p.sizes(numbers) for p in (v.known_a, v.known_b, v.links)), v.n_groups.room[numbers]))
+    both, times = np.unique(np.repeat(np.arange(n), n_links) * size + v.links.gather(numbers), return_counts=True)
+    doc, link = np.divmod(both, size)
+    alone = link < len(v.a_bytes)
     return {
         "n_a": pa.array(n_a),
         "n_b": pa.array(n_b),
         "n_groups": pa.array(n_groups),
-        "n_links": pa.array(n_a + n_b - n_groups),
-        "groups": pa.array(["".join(text[i:j])[:-1] for i, j in zip(a_at[:-1] + b_at[:-1], a_at[1:] + b_at[1:], strict=True)], pa.string()),
-        "same": _lists(same[0], same[1], n, np.int32),
-        "same_n": _lists(same[0], same[2], n, np.int32),
-        "pair": _lists(pair[0], pair[1], n, np.int64),
-        "pair_n": _lists(pair[0], pair[2], n, np.int32),
+        "n_links": pa.array(n_links),
+        "groups": pa.array(["".join(group_of[i:j])[:-1] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string()),
+        "same": _lists(doc[alone], link[alone], n, np.int32),
+        "same_n": _lists(doc[alone], times[alone], n, np.int32),
+        "pair": _lists(doc[~alone], link[~alone] - len(v.a_bytes), n, np.int64),
+        "pair_n": _lists(doc[~alone], times[~alone], n, np.int32),
     }
 
 
@@ -194,7 +297,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             _, offsets = flat(batch.column(1))
             for i, j in slices(offsets):
-                columns = align(v, *v.encode(batch.column(1).slice(i, j - i).to_pylist()))
+                columns = _documents(v, batch.column(1).slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns.values()], ["doc_id", *columns])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _ALIGNED)

@@ -122,3 +122,62 @@ def test_query(spark, tmp_path):
     assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) for r in out.collect()} == {i: (*e[:4], digest(e[4]), *e[5:]) for i, e in expected.items()}
     assert dict(out.dtypes) | {"doc_id": "bigint"} == {c: "string" if c == "groups_sha256" else "bigint" for c in out.columns}
     assert out.where(F.col("count_sum") < F.col("n_links")).isEmpty()
+
+
+class Counting:
+    """A tokenizer that notes how many texts it is asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together_and_aligned_once(monkeypatch):
+    v, rng = alignment.Vocabularies(A, B), random.Random(5)
+    own = ["".join(rng.choice("abcdeéTH漢.'1") for _ in range(9)) for _ in range(3000)]
+    texts = [" ".join(own), " ".join(own[::-1]), " ".join(own[:5] * 200)]
+    monkeypatch.setattr(v, "a", Counting(v.a))
+    v.encode(texts)
+    assert 0 < v.a.texts <= 3
+    monkeypatch.setattr(v, "a", v.a.inner)
+    v._forget()
+    seen, plainly = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda v, *x: seen.append(len(x[1])) or plainly(v, *x))
+    made = alignment._documents(v, texts)
+    assert sum(seen) == len(set(own)) and made["n_a"].to_pylist()[:2] == [sum(len(v.a.encode(" " + w).ids) for w in own)] * 2
+    expected = plain(v, {0: " ".join(own[:40])})[0]
+    few = alignment._documents(v, [" ".join(own[:40])])
+    assert [few[c][0].as_py() for c in ("n_a", "n_b", "n_groups", "n_links", "groups")] == list(expected[:5])
+
+
+def test_any_white_space_between_words(v):
+    rng = random.Random(6)
+    spaces = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "᠎", " ", " ", "​", " ", "　", "﻿"]
+    letters = [*"abTH01.,'!é漢🙂\x00́", "'s", "the", "</s>", "<|endoftext|>"]
+    some = ["".join(rng.choice(spaces if rng.random() < 0.35 else letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    a, a_at, b, b_at = v.encode(some)
+    for i, t in enumerate(some):
+        assert a[a_at[i] : a_at[i + 1]].tolist() == v.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
+        assert b[b_at[i] : b_at[i + 1]].tolist() == v.b.encode(t), repr(t)
+
+
+def test_a_word_that_is_not_spelled_beside_others(v):
+    own = [f"w{i}x" for i in range(2500)]
+    own[1700] = "q▁q"
+    v._forget()
+    whole, cut, other = (v.encode([" ".join(words)]) for words in (own, own[:1700], own[1701:]))
+    assert not len(whole[0]) and not len(whole[2])
+    for words, (a, _, b, _) in ((own[:1700], cut), (own[1701:], other)):
+        assert a.tolist() == v.a.encode(" " + " ".join(words), add_special_tokens=False).ids and b.tolist() == v.b.encode(" ".join(words))
+
+
+def test_halves_find_the_words_that_ids_do_not_spell():
+    v = alignment.Vocabularies(A, B)
+    own = [f"w{'abcdefgh'[i % 8]}{i}" for i in range(2000)]
+    expected = [len(v.a.encode(" " + w, add_special_tokens=False).ids) for w in own]
+    v.b_bytes[v.b.piece_to_id("7")] = b"?"
+    a, at, _, _ = v.encode(own)
+    assert [j - i for i, j in zip(at, at[1:])] == [0 if "7" in w else n for w, n in zip(own, expected)]

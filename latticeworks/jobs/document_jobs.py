@@ -30,7 +30,7 @@ def _placed(spark, sf_dir):
 def atoms_round_trip(spark, sf_dir):
     """Atoms without caps as fixed-width lines, copied as they are, and read again.
 
-    The format has five columns for serials and four for residues.
+    The format has five columns for serials and four for residues; larger ones are hybrid-36.
     """
     first, second = shared_folder(spark), shared_folder(spark)
     writers.write_lines(placement.pdb_lines(restraints.strip_caps(_placed(spark, sf_dir)), ["order", "atom_ord"]), first, head=("REMARK model",))

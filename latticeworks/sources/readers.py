@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.placement import from_hybrid36
 from ..operators.sequences import clean_sequence
 from .maps import decode_map, read_grids, read_maps  # noqa: F401
 
@@ -42,10 +43,11 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """path, serial, atom, base, chain, residue_num, x, y, z, element of fixed-width ATOM and HETATM lines."""
+    """path, serial, atom, base, chain, residue_num, x, y, z, element of fixed-width ATOM and HETATM lines;
+    serials and residues may be hybrid-36."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value").rlike("^(ATOM|HETATM)"))
     cut = lambda a, n, kind: F.trim(F.substring("value", a, n)).cast(kind)
-    return lines.select("path", cut(7, 5, "int").alias("serial"), cut(13, 4, "string").alias("atom"), cut(18, 3, "string").alias("base"), cut(22, 1, "string").alias("chain"), cut(23, 4, "int").alias("residue_num"), cut(31, 8, "double").alias("x"), cut(39, 8, "double").alias("y"), cut(47, 8, "double").alias("z"), cut(77, 2, "string").alias("element"))
+    return lines.select("path", from_hybrid36(F.substring("value", 7, 5), 5).alias("serial"), cut(13, 4, "string").alias("atom"), cut(18, 3, "string").alias("base"), cut(22, 1, "string").alias("chain"), from_hybrid36(F.substring("value", 23, 4), 4).alias("residue_num"), cut(31, 8, "double").alias("x"), cut(39, 8, "double").alias("y"), cut(47, 8, "double").alias("z"), cut(77, 2, "string").alias("element"))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:

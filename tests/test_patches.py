@@ -26,3 +26,13 @@ def test_contents(assigned):
                     if all(b <= v < b + 16 for b, v in ((ib, z), (jb, y), (kb, x))):
                         want.add((z, ib, jb, kb, (ib // 8 * per + jb // 8) * 2 + kb // 8))
     assert got == want
+
+
+def test_merge_by_certainty(assigned):
+    rows = assigned.withColumn("prob", F.col("patch") % 7 / 10)
+    got = {(r["z"], r["patch"]) for r in grid.merge_by_certainty(rows).collect()}
+    best = {}
+    for r in rows.collect():
+        rank = (-abs(r["prob"] - 0.5), r["patch"])
+        best[r["z"]] = min(best.get(r["z"], rank), rank)
+    assert got == {(z, rank[1]) for z, rank in best.items()}

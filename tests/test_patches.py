@@ -36,3 +36,13 @@ def test_merge_by_certainty(assigned):
         rank = (-abs(r["prob"] - 0.5), r["patch"])
         best[r["z"]] = min(best.get(r["z"], rank), rank)
     assert got == {(z, rank[1]) for z, rank in best.items()}
+
+
+def test_merge_by_confidence(assigned):
+    rows = assigned.withColumn("probs", F.array(F.col("patch") % 5 / 1.0, F.col("patch") % 3 / 1.0))
+    got = {(r["z"], r["patch"]) for r in grid.merge_by_confidence(rows).collect()}
+    best = {}
+    for r in rows.collect():
+        rank = (-max(r["probs"]), r["patch"])
+        best[r["z"]] = min(best.get(r["z"], rank), rank)
+    assert got == {(z, rank[1]) for z, rank in best.items()}

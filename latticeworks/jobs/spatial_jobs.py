@@ -96,7 +96,7 @@ def connectivity_threshold(spark, sf_dir):
 def connectivity_report(spark, sf_dir):
     """The first threshold that connects all points, else the largest and the components it leaves."""
     c = cloud(spark, sf_dir)
-    return graph.connected_at(graph.first_connecting(spatial.radius_pairs(c, 12.0), c, [2.0, 4.0, 8.0, 12.0]))
+    return graph.connected_at(spatial.connected_counts(c, [2.0, 4.0, 8.0, 12.0]))
 
 
 @query(

@@ -125,11 +125,7 @@ def nms_greedy(spark, sf_dir):
 def site_components(spark, sf_dir):
     """Around each site of class 0 the components of every class, and the one that fits best."""
     c = cloud(spark, sf_dir)
-    near = spatial.radius_join(c.where("label = 0"), c, 6.0).select(F.col("l.id").alias("site"), F.struct("l.x", "l.y", "l.z").alias("s"), F.col("r.id").alias("id"), F.col("r.label").alias("label"), F.col("r.x").alias("x"), F.col("r.y").alias("y"), F.col("r.z").alias("z"))
-    near = near.withColumn("node", F.struct("site", "id"))
-    pairs = spatial.radius_join(near, near, 3.0, keys=("site", "label")).where(F.col("l.id") < F.col("r.id")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    labels = graph.connected_components(near.select(F.col("node").alias("id")), pairs).select(F.col("id").alias("node"), F.col("component.id").alias("component"))
-    groups = near.join(labels, "node").groupBy("site", "label", "component").agg(F.first("s").alias("s"), F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"]).where("n >= 2")
+    groups = spatial.components_around(c.where("label = 0"), c, 6.0, 3.0)
     groups = groups.withColumn("distance", V.norm(V.sub(V.vec("cx", "cy", "cz"), V.unpacked(F.col("s")))))
     best = spatial.choose_component(groups, ["site", "label"], 3.8)
     return best.select("site", "label", "component", "n", rounded(F.col("distance")).alias("distance"), rounded(V.gaussian_score(F.col("distance"), 3.8, 2.5)).alias("score"))

@@ -107,3 +107,10 @@ def test_written_maps(spark, tmp_path, data):
     assert grids == {"a.mrc": (5, 7, 6, own[0]), "empty.mrc": (2, 3, 4, own[0])}
     with pytest.raises(Exception, match="cannot hold"):
         maps.write_maps(listed.where("map_id = 'empty'"), spark.createDataFrame([("empty", 0, 0, 0, 1.5)], v.schema), str(tmp_path / "no"))
+
+
+def test_many_small_files_take_several_tasks(spark, tmp_path, data):
+    for k in range(100):
+        (tmp_path / f"m{k}.mrc").write_bytes(content(data, 2, (1, 2, 3)))
+    read = maps.read_maps(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() == 4 and read.count() == 100 * int((data > 0).sum())
